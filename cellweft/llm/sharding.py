@@ -105,7 +105,7 @@ def oracle(shards: int) -> str:
     of = lambda n: pick.format(digits=DRAW_DIGITS, span=2 ** (4 * DRAW_DIGITS), n=n)
     return (
         "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents), "
-        "o AS (SELECT rid, doc_id, (octet_length(b) + 1)::BIGINT AS size, list_transform(range(0, octet_length(b)), lambda i: ('0x' || hex(b)[2 * i + 1:2 * i + 2])::BIGINT) AS octets FROM d), "
+        "o AS (SELECT rid, doc_id, (octet_length(b) + 1)::BIGINT AS size, list_transform(regexp_extract_all(hex(b), '..'), lambda h: ('0x' || h)::BIGINT) AS octets FROM d), "
         f"c AS (SELECT rid, doc_id, size, {crc} AS text_crc32 FROM o), a AS {of(shards)}, g AS {of(shards + 1)} "
         "SELECT doc_id, size, text_crc32, 'key' AS law, a.shard::INT AS shard, row_number() OVER (PARTITION BY a.shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, g.shard::INT AS grown_shard "
         "FROM c JOIN a USING (rid) JOIN g USING (rid)"
