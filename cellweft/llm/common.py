@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,3 +72,10 @@ def dense_index(df: DataFrame, keys: list[str], name: str = "idx") -> DataFrame:
         .withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_part", "_before", "_at")
     )
+
+
+def map_rows(df: DataFrame, key: str, columns: list[str], run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas over key and columns; the key crosses as a string, so that nulls and large numbers survive."""
+    kind = df.schema[key].dataType
+    out = df.select(F.col(key).cast("string").alias(key), *columns).mapInPandas(run, f"{key} string, {schema}")
+    return out.withColumn(key, F.col(key).cast(kind))

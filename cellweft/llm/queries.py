@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweft.llm import chat_format, mixing, packing, secret_scan, sharding
+from cellweft.llm import ann, chat_format, langid, mixing, neardup, ogg, packing, quality, secret_scan, sharding
 from cellweft.llm.common import table, word_count
 
 SHARDS = 16
@@ -34,6 +34,17 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder(key: str, n: int):  # noqa: ANN202
+    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_remainder("doc_id", 4) == 2, F.lit(False))
+    net = langid.fit(docs.filter(~held_out))
+    return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mixing.mix(docs, "doc_id").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -44,6 +55,29 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "doc_id", "length").select("doc_id", "length", "bucket", "bucket_length", "batch", "slot", "padding")
 
 
+def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.store_texts(table(spark, sf_dir, "documents"), "doc_id")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trusted positives: labelled 1, outside the held-out fifth; unlabelled: every document outside it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False))
+    trusted = table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & ~held_out).select("doc_id")
+    known = docs.filter(~held_out)
+    model = quality.fit(known.join(trusted, "doc_id", "left_semi"), known)
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -57,7 +91,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_secret_scan, op4_mixing, op5_packing, op10_sharding)
+    f.__name__: f for f in (
+        op1_chat_format, op2_secret_scan, op3_langid, op4_mixing, op5_packing, op6_ogg, op7_quality, op8_ann, op9_neardup, op10_sharding,
+    )
 }
 
 ORACLES: dict[str, str] = {}
