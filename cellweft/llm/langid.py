@@ -9,8 +9,8 @@ As a convolution of embedded bytes is linear before the maximum, the filters are
 prediction: the same responses, by lookup.
 
 Texts that are null or hold no letter are "und" with score 0, as is everything if no labelled text was given. Training takes at most
-`max_docs` texts of `windows_per_doc` windows each, chosen by hash; prediction reads whole texts. Extra columns are ignored;
-repeated rows each get their row.
+`max_docs` texts of `windows_per_doc` windows each, chosen by hash; prediction reads whole texts. Other columns pass through; repeated rows each get
+their prediction.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import map_rows
-
 UNDETERMINED = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -35,8 +33,10 @@ STRIDE = WINDOW - WIDEST + 1
 #: Bounds of the training sample.
 MAX_DOCS = 2000
 WINDOWS_PER_DOC = 4
+#: Passes over the sample, and steps at least.
 EPOCHS = 6
 BATCH = 128
+LEAST_STEPS = 400
 #: Windows evaluated at a time.
 BLOCK = 96
 
@@ -92,7 +92,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
     params = [net.embedding, *net.filters, net.bias, net.weights, net.offset]
     m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * BATCH // len(windows)))):
         order = rng.permutation(len(windows))
         for a in range(0, len(order), BATCH):
             x, y = windows[order[a : a + BATCH]], labels[order[a : a + BATCH]]
@@ -168,27 +168,28 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, lang_pred, score)."""
-    docs = docs.withColumn("_letter", has_letter(F.col(text)))
+def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:
+    """docs plus lang_pred and score; the other columns stay outside Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tables = net.tables() if net else None
         for batch in batches:
             lang = np.full(len(batch), UNDETERMINED, object)
             score = np.zeros(len(batch))
-            rows = np.flatnonzero(batch["_letter"].to_numpy()) if net else np.array([], np.int64)
-            for part in _by_bytes(batch[text], rows):
-                windows, owner, fresh = cut([batch[text].iat[i].encode("utf-8", "surrogatepass") for i in part])
+            rows = np.flatnonzero(batch.notna().to_numpy()) if net else np.array([], np.int64)
+            for part in _by_bytes(batch, rows):
+                windows, owner, fresh = cut([batch.iat[i].encode("utf-8", "surrogatepass") for i in part])
                 p = probabilities(net, windows, tables).astype(np.float64) * fresh[:, None]
-                mean = np.add.reduceat(p, np.searchsorted(owner, np.arange(len(part))), axis=0)
-                mean /= np.add.reduceat(fresh, np.searchsorted(owner, np.arange(len(part))))[:, None]
+                first = np.searchsorted(owner, np.arange(len(part)))
+                mean = np.add.reduceat(p, first, axis=0) / np.add.reduceat(fresh, first)[:, None]
                 best = mean.argmax(axis=1)
                 lang[part] = np.array(net.languages, object)[best]
                 score[part] = np.clip(mean[np.arange(len(part)), best], 0, 1)
-            yield pd.DataFrame({key: batch[key].to_numpy(), "lang_pred": lang, "score": score})
+            yield pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return map_rows(docs, key, [text, "_letter"], run, "lang_pred string, score double")
+    found = docs.withColumn("_found", run(F.when(has_letter(F.col(text)), F.col(text))))
+    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
 
 
 def _by_bytes(texts: pd.Series, rows: np.ndarray, most: int = 1 << 21) -> Iterator[np.ndarray]:

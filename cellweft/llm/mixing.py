@@ -162,3 +162,15 @@ def mix(docs: DataFrame, key: str, weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     more = (F.col("_idx") - F.col("_first")) < F.col("_total") % F.col("n")
     copies = (F.floor(F.col("_total") / F.col("n")) + F.when(more, 1).otherwise(0)).cast("long")
     return both.withColumn("copies", copies).drop("_h", "_idx", "_first", "_ps", "_pz", "n", "_total")
+
+
+def repeat_copies(docs: DataFrame, key: str, text_words: Column, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = CAP) -> DataFrame:
+    """docs (with source and any other columns) as the mix takes them: each row as often as its copies, in the same columns."""
+    sized = docs.select(F.struct(*docs.columns).alias("_row"), key, "source", text_words.alias("_size"))
+    narrow = sized.select(key, "source", F.col("_size").alias("size"))
+    # equal (key, source, size) are repeated rows; they take the copies of the first
+    plan = mix(narrow, key, weights, cap).groupBy(key, "source", "size").agg(F.max("copies").alias("_copies"))
+    plan = plan.select(F.col(key).alias("_pk"), F.col("source").alias("_ps"), F.col("size").alias("_pz"), "_copies").filter("_copies > 0")
+    same = F.col(key).eqNullSafe(F.col("_pk")) & F.col("source").eqNullSafe(F.col("_ps")) & (F.col("_size") == F.col("_pz"))
+    taken = sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return taken.select("_row.*")

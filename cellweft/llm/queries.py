@@ -90,9 +90,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_format, op2_secret_scan, op3_langid, op4_mixing, op5_packing, op6_ogg, op7_quality, op8_ann, op9_neardup, op10_sharding,
+        pipeline,
     )
 }
 
