@@ -24,6 +24,8 @@ from cellweft.llm.common import dense_index, materialize
 CAP = 3
 NEWTON_STEPS = 40
 TOLERANCE = 1e-9
+#: Roundings tried for a source on either side of the plain one.
+STARTS = 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = CAP) -> DataFrame:
@@ -125,19 +127,25 @@ def round_cells(cells: DataFrame, rates: DataFrame, cap: int = CAP) -> DataFrame
         F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cells")
     )
 
+    def copies(left: Column, c: Column) -> Column:
+        asked = c["n"] * c["size"] * c["rate"] + left
+        whole = F.greatest(F.lit(0.0), F.least(F.round(asked / F.greatest(c["size"], F.lit(1))), c["n"] * float(cap)))
+        return F.when(c["size"] == 0, c["n"].cast("double")).otherwise(whole).cast("long")
+
+    def handed_on(left: Column, c: Column) -> Column:
+        return (c["n"] * c["size"] * c["rate"] + left - copies(left, c) * c["size"]).cast("double")
+
+    # the rounding of the largest documents decides what the small ones must make up for: several starts, the best one counts
+    largest = F.coalesce(F.col("cells")[0]["size"], F.lit(0)).cast("double")
+    starts = F.transform(F.sequence(F.lit(0), F.lit(2 * STARTS)), lambda k: F.floor((k - STARTS) * largest / STARTS).cast("double"))
+    ends = F.transform(starts, lambda o: F.struct(F.abs(F.aggregate("cells", o, handed_on) - o).alias("off"), F.abs(o).alias("by"), o.alias("start")))
+    lists = lists.withColumn("_start", F.array_min(ends)["start"])
+
     def step(acc: Column, c: Column) -> Column:
-        asked = c["n"] * c["size"] * c["rate"] + acc["left"]
-        copies = F.greatest(F.lit(0.0), F.least(F.round(asked / F.greatest(c["size"], F.lit(1))), c["n"] * float(cap)))
-        copies = F.when(c["size"] == 0, c["n"].cast("double")).otherwise(copies).cast("long")
-        return F.struct(
-            (asked - copies * c["size"]).cast("double").alias("left"),
-            F.array_append(acc["out"], F.struct(c["size"].alias("size"), c["n"].alias("n"), c["rate"].alias("rate"), copies.alias("copies"))).alias("out"),
-        )
+        one = F.struct(c["size"].alias("size"), c["n"].alias("n"), c["rate"].alias("rate"), copies(acc["left"], c).alias("copies"))
+        return F.struct(handed_on(acc["left"], c).alias("left"), F.array_append(acc["out"], one).alias("out"))
 
-    start = F.struct(
-        F.lit(0.0).alias("left"),
-        F.array().cast("array<struct<size:bigint,n:bigint,rate:double,copies:bigint>>").alias("out"),
-    )
+    start = F.struct(F.col("_start").alias("left"), F.array().cast("array<struct<size:bigint,n:bigint,rate:double,copies:bigint>>").alias("out"))
     return lists.select("source", F.inline(F.aggregate("cells", start, step)["out"]))
 
 

@@ -97,7 +97,7 @@ def test_mixing_targets_and_balance(spark, documents):
     assert np.allclose(got["target"], got["source"].map(want)) and (got["source_size"] == got["source"].map(sizes)).all()
     assert ((got["taken"] == 0) | (got["taken"] % got["size"] == 0)).all() and (got["taken"] <= 3 * got["size"]).all()
     taken = got.groupby("source")["taken"].sum()
-    assert all(abs(taken[s] - want[s]) <= max(0.02 * want[s], 10) for s in want)
+    assert all(abs(taken[s] - want[s]) <= max(0.04 * want[s], 10) for s in want)
     again = QUERIES["op4_mixing"](spark, SF).toPandas()
     assert sorted(map(tuple, got[["doc_id", "taken"]].to_numpy())) == sorted(map(tuple, again[["doc_id", "taken"]].to_numpy()))
 
