@@ -42,6 +42,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts_for(spark: SparkSession, rows: int, rows_per_part: int = 20_000) -> int:
+    """Partitions for a table of so many narrow rows, never more than a shuffle makes."""
+    return max(1, min(shuffle_partitions(spark), -(-rows // rows_per_part)))
+
+
+def compact(df: DataFrame, rows_per_part: int = 20_000) -> tuple[DataFrame, int]:
+    """Materialized df in as few partitions as its rows need, and their number: small tables in loops then write few shuffle files."""
+    done = materialize(df)
+    parts = parts_for(df.sparkSession, done.count(), rows_per_part)
+    return done.coalesce(parts), parts
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as long; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import map_rows, materialize
+from cellweft.llm.common import compact, map_rows, materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -239,22 +239,22 @@ def components(links: DataFrame) -> DataFrame:
     Every node takes the least label among itself and its neighbours, then its label's label, until nothing changes.
     """
     links = links.filter(F.col("a") != F.col("b")).distinct()
-    both = materialize(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select(F.col("b"), F.col("a"))))
-    labels = materialize(both.groupBy("node").agg(F.min("to").alias("label")).select("node", F.least("node", "label").alias("label")))
+    both, parts = compact(links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select(F.col("b"), F.col("a"))))
+    labels = materialize(both.groupBy("node").agg(F.min("to").alias("label")).select("node", F.least("node", "label").alias("label")).coalesce(parts))
     while True:
-        near = both.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("_near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "_near").alias("_l"))
+        near = both.join(labels.select(F.col("node").alias("to"), "label"), "to").coalesce(parts).groupBy("node").agg(F.min("label").alias("_near"))
+        step = labels.join(near, "node").select("node", "label", F.least("label", "_near").alias("_l")).coalesce(parts)
         jump = labels.select(F.col("node").alias("_l"), F.col("label").alias("_j"))
-        step = materialize(step.join(jump, "_l", "left").select("node", F.col("label").alias("_old"), F.least("_l", F.coalesce("_j", "_l")).alias("label")))
+        step = materialize(step.join(jump, "_l", "left").select("node", F.col("label").alias("_old"), F.least("_l", F.coalesce("_j", "_l")).alias("label")).coalesce(parts))
         changed = step.filter(F.col("label") != F.col("_old")).limit(1).count()
         labels = step.select("node", "label")
         if not changed:
             return labels
 
 
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
     """Members of the buckets in which nodes of different labels meet."""
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).coalesce(parts)
     mixed = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
     return named.join(mixed.select("key"), "key")
 
@@ -302,25 +302,25 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     usable = docs.filter(F.col(key).isNotNull() & (F.length(text) > 0))
     alone = docs.filter(F.col(key).isNull() | F.col(text).isNull() | (F.length(text) == 0)).select(key, F.col(key).alias("class_id"))
     signed = materialize(sign(usable, key, text))
-    nodes = signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = materialize(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
     rows = nodes.select("node", "n", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min("node").alias("_centre")).filter("_size > 1")
-    members = materialize(rows.join(buckets, "key"))
+    members, _ = compact(rows.join(buckets, "key"))
 
     wanted = members.select("node").distinct().join(signed, "node").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
-    sets = materialize(gather_sets(usable.join(wanted, key), key, text))
+    sets, _ = compact(gather_sets(usable.join(wanted, key), key, text), 5_000)
 
     side = lambda c: members.filter(F.col("_size") <= SMALL).select("key", F.col("node").alias(f"_{c}"), F.col("n").alias(f"_n{c}"))
     small = side("a").join(side("b"), "key").filter((F.col("_a") < F.col("_b")) & _close_in_size(threshold)).select(*_ordered("_a", "_b"))
     large = members.filter(F.col("_size") > SMALL)
     star = large.filter(F.col("node") != F.col("_centre")).select(*_ordered("node", "_centre"))
-    tried = materialize(small.union(star).distinct())
-    links = materialize(verify(tried, sets, threshold))
+    tried, _ = compact(small.union(star).distinct())
+    links, _ = compact(verify(tried, sets, threshold))
     labels = components(links)
 
-    large = materialize(large.select("key", "node", "n"))
+    large, parts = compact(large.select("key", "node", "n"))
     for turn in range(CENTRE_ROUNDS + 1):
-        apart = materialize(_apart(large, labels))
+        apart, _ = compact(_apart(large, labels, parts))
         if not apart.limit(1).count():
             break
         if turn < CENTRE_ROUNDS:
@@ -328,17 +328,17 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
             pairs = (
                 apart.join(centre, "key").filter(F.col("label") != F.col("_c.label"))
                 .select("node", F.col("_c.node").alias("_centre"), F.col("n").alias("_na"), F.col("_c.n").alias("_nb"))
-                .filter(_close_in_size(threshold)).select(*_ordered("node", "_centre")).distinct()
+                .filter(_close_in_size(threshold)).select(*_ordered("node", "_centre")).coalesce(parts).distinct()
             )
         else:
             pairs = _rest(apart, sets, threshold)
-        fresh = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+        fresh, _ = compact(pairs.join(tried, ["a", "b"], "left_anti"))
         if not fresh.limit(1).count():
             continue
-        found = materialize(verify(fresh, sets, threshold))
-        tried = materialize(tried.union(fresh))
+        found, _ = compact(verify(fresh, sets, threshold))
+        tried = tried.union(fresh)
         if found.limit(1).count():
-            links = materialize(links.union(found))
+            links = links.union(found)
             labels = components(links)
 
     named = signed.select(key, "node").join(labels, "node", "left").select(key, F.coalesce("label", "node").alias("_label"))
