@@ -9,8 +9,9 @@ makes the work per shingle one draw and a comparison; texts with a register left
 
 Registers are banded; texts that share a band are candidates, and candidates are verified by the exact multiset overlap. Texts with
 equal multisets are one node from the start. Buckets of few nodes pair all of theirs; in larger ones everything is compared with
-the bucket's centre, then again with other centres as long as different classes meet in a bucket, and in the end all pairs of different
-classes whose registers agree often enough. Classes are the connected components of verified links.
+the bucket's centre first. Where different classes still meet in such a bucket, what is outside its commonest class is compared
+with everything in it, block against block, exactly; a block hands on as many links as join its classes, not all pairs. Classes are the
+connected components of verified links.
 
 Null and empty texts and rows without a key are classes of their own; texts without a word are grouped if equal; repeated rows share a
 class; an empty table gives an empty result; extra columns are ignored.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.llm.common import compact, map_rows, materialize
@@ -34,11 +35,9 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Buckets up to this size pair all their nodes at once.
 SMALL = 8
-#: Rounds with other centres before the remaining pairs are compared.
-CENTRE_ROUNDS = 2
-#: Nodes of one side in a block of the last comparison, and the agreement that a pair needs there: 4.5 deviations below 0.8.
+#: Nodes of one side in a block of the last comparison, and different elements that are compared at a time.
 BLOCK = 512
-AGREEMENT = THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
+COLUMNS = 4096
 
 _U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -172,11 +171,11 @@ def _encode(values: pd.Series) -> list[bytes]:
     return [v.lower().encode("utf-8", "surrogatepass") if isinstance(v, str) else b"" for v in values]
 
 
-def describe(texts: list[bytes]) -> Iterator[tuple[bytes, int, np.ndarray | None, np.ndarray, np.ndarray]]:
-    """(content, weight, band keys, elements, signature) of each text; equal multisets have equal content."""
+def describe(texts: list[bytes], sign_them: bool = True) -> Iterator[tuple[bytes, int, np.ndarray | None, np.ndarray, np.ndarray]]:
+    """(content, weight, band keys, elements, signature) of each text; equal multisets have equal content. Signatures may be left out."""
     for a, b in _runs(texts):
         doc, x, count = shingles(texts[a:b])
-        sig = signatures(b - a, doc, x, count)
+        sig = signatures(b - a, doc, x, count) if sign_them else np.zeros((b - a, REGISTERS), np.uint32)
         keys = band_keys(sig)
         cuts = np.searchsorted(doc, np.arange(b - a + 1))
         for i in range(b - a):
@@ -203,15 +202,13 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def gather_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (node, elements, signature), one for each different node."""
+    """Rows (node, elements), one for each different node."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d[0], d[3].tobytes(), d[4].tobytes()) for d in describe(_encode(batch[text]))]
-            yield pd.DataFrame(rows, columns=["node", "elements", "signature"])
+            yield pd.DataFrame([(d[0], d[3].tobytes()) for d in describe(_encode(batch[text]), sign_them=False)], columns=["node", "elements"])
 
-    got = docs.select(text).mapInPandas(run, "node binary, elements binary, signature binary")
-    return got.groupBy("node").agg(F.first("elements").alias("elements"), F.first("signature").alias("signature"))
+    return docs.select(text).mapInPandas(run, "node binary, elements binary").groupBy("node").agg(F.first("elements").alias("elements"))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -267,33 +264,86 @@ def _close_in_size(threshold: float):  # noqa: ANN202
     return F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Jaccard similarities of all sets of one side with all of the other, through the elements that two sets share."""
+    both = left + right
+    values = np.concatenate(both)
+    owner = np.repeat(np.arange(len(both)), [len(v) for v in both])
+    _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    column = np.full(len(count), -1)
+    column[shared] = np.arange(len(shared))
+    at = column[inverse]
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], np.arange(0, len(shared) + COLUMNS, COLUMNS))
+    common = np.zeros((len(left), len(right)), np.float32)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        part = order[a:b]
+        if len(part):
+            m = np.zeros((len(both), COLUMNS), np.float32)
+            m[owner[part], at[part] % COLUMNS] = 1
+            common += m[: len(left)] @ m[len(left) :].T
+    sizes = np.array([len(v) for v in both], np.float32)
+    return common / np.maximum(sizes[: len(left), None] + sizes[None, len(left) :] - common, 1)
+
+
+def _joining(similar: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Of the similar pairs of different labels, as many as join the labels."""
+    parent = list(range(int(label.max()) + 1))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(similar & (label[left][:, None] != label[right][None, :])), strict=True):
+        a, b = find(int(label[left[i]])), find(int(label[right[j]]))
+        if a != b:
+            parent[a] = b
+            out.append((int(left[i]), int(right[j])))
+    return out
+
+
 def _rest(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different labels in one bucket whose registers agree often, block against block."""
-    sizes = apart.groupBy("key").agg(F.count(F.lit(1)).alias("_size"))
-    blocks = F.ceil(F.col("_size") / BLOCK).cast("int")
-    placed = apart.join(sizes, "key").join(sets.select("node", "signature"), "node")
-    placed = placed.withColumn("_block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("key", F.least("_block", "_other").alias("lo"), F.greatest("_block", "_other").alias("hi"), (F.col("_block") > F.col("_other")).alias("second"), "node", "label", "n", "signature")
+    """Links (a, b) that join the different labels of a bucket.
+
+    Nodes outside the bucket's commonest label (others) are compared among themselves and with those inside it, which need no comparison among
+    themselves; both sides are dealt into blocks, and a pair of blocks is a task of bounded size.
+    """
+    main = apart.groupBy("key").agg(F.mode("label", True).alias("_main"))
+    sided = apart.join(main, "key").withColumn("_inside", F.col("label") == F.col("_main")).drop("_main")
+    sizes = sided.groupBy("key").agg(F.count_if(~F.col("_inside")).alias("_others"), F.count_if("_inside").alias("_insiders"))
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
+    placed = sided.join(sizes.select("key", blocks("_others").alias("_bo"), blocks("_insiders").alias("_bi")), "key")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("_inside"), F.col("_bi")).otherwise(F.col("_bo"))).cast("int")
+    placed = placed.withColumn("_own", own)
+
+    def place(inside: bool, lo: Column, hi: Column, second: Column) -> Column:
+        return F.struct(F.lit(inside).alias("inside"), lo.alias("lo"), hi.alias("hi"), second.alias("second"))
+
+    others = F.sequence(F.lit(0), F.col("_bo") - 1)
+    at_others = F.transform(others, lambda j: place(False, F.least(F.col("_own"), j), F.greatest(F.col("_own"), j), F.col("_own") > j))
+    at_insiders = F.transform(F.sequence(F.lit(0), F.col("_bi") - 1), lambda j: place(True, F.col("_own"), j, F.lit(False)))
+    insider = F.transform(others, lambda j: place(True, j, F.col("_own"), F.lit(True)))
+    placed = placed.withColumn("_at", F.explode(F.when(F.col("_inside"), insider).otherwise(F.concat(at_others, at_insiders))))
+    placed = placed.select("key", "_at.*", "node", "label").join(sets.select("node", "elements"), "node")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = ~pdf["second"].to_numpy()
-        same = pdf["lo"].iat[0] == pdf["hi"].iat[0]
-        left = np.flatnonzero(first)
-        right = left if same else np.flatnonzero(~first)
-        sig = np.array([np.frombuffer(s, np.uint32) for s in pdf["signature"]]).reshape(len(pdf), REGISTERS)
-        n, label = pdf["n"].to_numpy(), pdf["label"].factorize()[0]
-        agree = np.zeros((len(left), len(right)), np.int16)
-        for r in range(REGISTERS):
-            agree += sig[left, r][:, None] == sig[right, r][None, :]
-        ok = (agree >= AGREEMENT * REGISTERS) & (label[left][:, None] != label[right][None, :])
-        ok &= np.minimum(n[left][:, None], n[right][None, :]) >= threshold * np.maximum(n[left][:, None], n[right][None, :])
-        i, j = np.nonzero(ok)
+        second = pdf["second"].to_numpy()
+        alone = not pdf["inside"].iat[0] and pdf["lo"].iat[0] == pdf["hi"].iat[0]
+        left = np.flatnonzero(~second)
+        right = left if alone else np.flatnonzero(second)
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["a", "b"])
+        sets_of = lambda rows: [np.frombuffer(pdf["elements"].iat[k], np.uint32) for k in rows]
+        links = _joining(overlaps(sets_of(left), sets_of(right)) >= threshold - 1e-6, left, right, pdf["label"].factorize()[0])
         nodes = pdf["node"].to_numpy()
-        return pd.DataFrame({"a": nodes[left[i]], "b": nodes[right[j]]}, columns=["a", "b"])
+        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in links], columns=["a", "b"])
 
-    # the side a row is on: a block against itself holds its rows once
-    found = placed.groupBy("key", "lo", "hi").applyInPandas(run, "a binary, b binary")
-    return found.filter(F.col("a") != F.col("b")).select(*_ordered("a", "b")).distinct()
+    found = placed.groupBy("key", "inside", "lo", "hi").applyInPandas(run, "a binary, b binary")
+    return found.select(*_ordered("a", "b"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -314,32 +364,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     small = side("a").join(side("b"), "key").filter((F.col("_a") < F.col("_b")) & _close_in_size(threshold)).select(*_ordered("_a", "_b"))
     large = members.filter(F.col("_size") > SMALL)
     star = large.filter(F.col("node") != F.col("_centre")).select(*_ordered("node", "_centre"))
-    tried, _ = compact(small.union(star).distinct())
-    links, _ = compact(verify(tried, sets, threshold))
+    links, _ = compact(verify(small.union(star).distinct(), sets, threshold))
     labels = components(links)
 
-    large, parts = compact(large.select("key", "node", "n"))
-    for turn in range(CENTRE_ROUNDS + 1):
-        apart, _ = compact(_apart(large, labels, parts))
-        if not apart.limit(1).count():
-            break
-        if turn < CENTRE_ROUNDS:
-            centre = apart.groupBy("key").agg(F.min_by(F.struct("node", "label", "n"), F.xxhash64(F.lit(turn), "node")).alias("_c"))
-            pairs = (
-                apart.join(centre, "key").filter(F.col("label") != F.col("_c.label"))
-                .select("node", F.col("_c.node").alias("_centre"), F.col("n").alias("_na"), F.col("_c.n").alias("_nb"))
-                .filter(_close_in_size(threshold)).select(*_ordered("node", "_centre")).coalesce(parts).distinct()
-            )
-        else:
-            pairs = _rest(apart, sets, threshold)
-        fresh, _ = compact(pairs.join(tried, ["a", "b"], "left_anti"))
-        if not fresh.limit(1).count():
-            continue
-        found, _ = compact(verify(fresh, sets, threshold))
-        tried = tried.union(fresh)
+    large, parts = compact(large.select("key", "node"))
+    apart, _ = compact(_apart(large, labels, parts))
+    if apart.limit(1).count():
+        found, _ = compact(_rest(apart, sets, threshold).distinct())
         if found.limit(1).count():
-            links = links.union(found)
-            labels = components(links)
+            labels = components(links.union(found))
 
     named = signed.select(key, "node").join(labels, "node", "left").select(key, F.coalesce("label", "node").alias("_label"))
     named = materialize(named)

@@ -251,7 +251,9 @@ def brute_classes(ids, texts, least=0.8):
     return {d: min(roots[find(i)]) for i, d in enumerate(ids)}
 
 
-def test_near_duplicates_against_brute_force(spark, documents):
+@pytest.mark.parametrize("block", [512, 16])
+def test_near_duplicates_against_brute_force(spark, documents, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = np.random.default_rng(4)
     texts = documents["text"].tolist()
     base = [f"w{v}" for v in rng.integers(0, 500, 120)]
