@@ -47,7 +47,11 @@ def melting_temperature(seq: Column, sodium_mm: float = 390.0, strand_nm: float
     table = _steps()
     pairs = F.transform(F.sequence(F.lit(1), F.length(seq) - 1), lambda i: F.substring(seq, i, F.lit(2)))
     lookup = [F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v[j]))]) for j in (0, 1)]
-    h, s = (F.aggregate(pairs, F.lit(0.0), lambda acc, p, m=m: acc + F.coalesce(m[p], F.lit(0.0))) for m in lookup)
+
+    def summed(table: Column) -> Column:
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.coalesce(table[p], F.lit(0.0)))
+
+    h, s = map(summed, lookup)
     for end in (F.substring(seq, 1, 1), F.substring(seq, -1, 1)):
         at = end.isin("A", "T")
         h = h + F.when(at, END_AT[0]).otherwise(END_GC[0])

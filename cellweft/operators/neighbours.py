@@ -89,7 +89,7 @@ def knn_features(queries: DataFrame, base: DataFrame, k: int, metric: str = "cos
         raise ValueError(f"unknown metric {metric}")
     nb = max(1, math.ceil(base.count() / block))
     b = base.select(F.col("id").alias("dst"), F.col(bits).alias("_b")).withColumn("_block", F.pmod(F.xxhash64("dst"), F.lit(nb)))
-    q = queries.select(F.col("id").alias("src"), F.col(bits).alias("_q")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).cast("long"))
+    q = queries.select(F.col("id").alias("src"), F.col(bits).alias("_q")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
     pairs = q.join(b, "_block")
     pairs = pairs if include_self else pairs.filter("src <> dst")
     return _top(pairs.select("src", "dst", METRICS[metric](F.col("_q"), F.col("_b")).alias("dist")), k)

@@ -112,7 +112,7 @@ def experiment_record(spark: SparkSession, info: dict) -> DataFrame:
 
 def read_matrix_market(spark: SparkSession, matrix: str, barcodes: str, features: str) -> DataFrame:
     """(cell_id, gene_id, gene_name, feature_type, count) of a coordinate matrix of genes by cells with its two name lists."""
-    numbered = lambda path: spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("pos", "line"))
+    numbered = lambda path: spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\n"), lambda s: F.trim(s) != "")).alias("pos", "line"))
     b = numbered(barcodes).select((F.col("pos") + 1).alias("_c"), F.trim(F.split("line", "\t")[0]).alias("cell_id"))
     f = numbered(features).select((F.col("pos") + 1).alias("_g"), F.split("line", "\t").alias("_f"))
     f = f.select("_g", *[F.trim(F.get("_f", F.lit(i))).alias(n) for i, n in enumerate(("gene_id", "gene_name", "feature_type"))])
