@@ -163,88 +163,6 @@ def fit(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "t
     return train(pos, unl, estimate_prior(pos, unl))
 
 
-def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margin(x).astype(np.float64), -30, 30)))
-
-
-def train(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int = 3, steps: int = STEPS, rate: float = 3e-3, decay: float = 1e-4) -> Model:
-    """Non-negative risk with the logistic loss; prior None trains plain positives against unlabelled rows."""
-    rng = np.random.default_rng(seed)
-    both = np.concatenate([pos, unl])
-    m = Model(
-        both.mean(0), both.std(0) + 1e-3, rng.normal(0, 1 / np.sqrt(both.shape[1]), (both.shape[1], HIDDEN)).astype(np.float32),
-        np.zeros(HIDDEN, np.float32), rng.normal(0, 0.1, HIDDEN).astype(np.float32), 0.0, prior or 0.5,
-    )
-    z = [np.clip((x - m.mean) / m.scale, -6, 6).astype(np.float32) for x in (pos, unl)]
-    params = [m.hidden, m.hidden_bias, m.out, np.zeros(1, np.float32)]
-    m1, m2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, steps + 1):
-        xp, xu = (a[rng.integers(0, len(a), min(BATCH, len(a)))] for a in z)
-        x = np.concatenate([xp, xu])
-        h = np.tanh(x @ params[0] + params[1])
-        g = h @ params[2] + params[3][0]
-        s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-        sp, su = s[: len(xp)], s[len(xp) :]
-        # gradients of the mean logistic losses: l(g, +) has s - 1, l(g, -) has s
-        if prior is None:
-            d = np.concatenate([(sp - 1) / len(xp), su / len(xu)])
-        else:
-            soft = lambda v: np.logaddexp(0, v)
-            negative = soft(g[len(xp) :]).mean() - prior * soft(g[: len(xp)]).mean()
-            if negative >= 0:
-                d = np.concatenate([prior * (sp - 1) / len(xp) - prior * sp / len(xp), su / len(xu)])
-            else:
-                d = np.concatenate([prior * sp / len(xp), -su / len(xu)])
-        dh = d[:, None] * params[2] * (1 - h * h)
-        grads = [x.T @ dh + decay * params[0], dh.sum(0), h.T @ d + decay * params[2], d.sum(keepdims=True)]
-        for p, q, u, v in zip(params, grads, m1, m2, strict=True):
-            u += 0.1 * (q - u)
-            v += 0.01 * (q * q - v)
-            p -= rate * (u / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    m.hidden, m.hidden_bias, m.out, m.out_bias = params[0], params[1], params[2], float(params[3][0])
-    return m
-
-
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 3, confidence: float = 0.1) -> float:
-    """Share of positives among the unlabelled rows: the least, over thresholds, of the two shares above it."""
-    rng = np.random.default_rng(seed)
-    p, u = pos[rng.permutation(len(pos))], unl[rng.permutation(len(unl))]
-    a, b = len(p) // 2, len(u) // 2
-    if not a or not b:
-        return 0.5
-    first = train(p[:a], u[:b], None, seed)
-    sp, su = np.sort(first.margin(p[a:])), np.sort(first.margin(u[b:]))
-    cuts = np.concatenate([sp, su])
-    above_p = 1 - np.searchsorted(sp, cuts) / len(sp)
-    above_u = 1 - np.searchsorted(su, cuts) / len(su)
-    slack = np.sqrt(np.log(4 / confidence) / 2 / len(sp)) + np.sqrt(np.log(4 / confidence) / 2 / len(su))
-    ok = above_p > 0.05
-    best = np.argmin((above_u[ok] + slack) / above_p[ok])
-    return float(np.clip(above_u[ok][best] / above_p[ok][best], 0.05, 0.95))
-
-
-def _sample(docs: DataFrame, keys: DataFrame, key: str, text: str, seed: str, most: int) -> np.ndarray:
-    """Descriptions of the texts of up to `most` keys chosen by hash, in the order of the keys. Only that many keys are broadcast; no text is shuffled."""
-    chosen = keys.filter(F.col(key).isNotNull()).select(key, F.xxhash64(F.lit(seed), key).alias("_h")).orderBy("_h", key).limit(most)
-    rows = docs.join(F.broadcast(chosen.select(key).distinct()), key)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({key: batch[key].to_numpy(), "x": [describe(t).tolist() for t in batch[text]]})
-
-    got = map_rows(rows, key, [text], run, "x array<float>").toPandas()
-    got = got.assign(_x=got["x"].map(tuple)).sort_values([key, "_x"])
-    return np.array(got["x"].tolist(), np.float32).reshape(-1, FEATURES)
-
-
-def fit(positives: DataFrame, unlabelled: DataFrame, key: str = "doc_id", text: str = "text", max_rows: int = MAX_ROWS) -> Model | None:
-    pos = _sample(positives.filter(F.col(key).isNotNull()), key, text, "positive", max_rows)
-    unl = _sample(unlabelled.filter(F.col(key).isNotNull()), key, text, "unlabelled", max_rows)
-    if not len(pos) or not len(unl):
-        return None
-    return train(pos, unl, estimate_prior(pos, unl))
-
-
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, score)."""
 
