@@ -122,6 +122,32 @@ def delta_e_1976(first: tuple[Column, Column, Column], second: tuple[Column, Col
     return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(first[1:], second[1:], strict=True)), (first[0] - second[0]) * (first[0] - second[0])))
 
 
+def delta_e_2000(first: tuple[Column, Column, Column], second: tuple[Column, Column, Column]) -> Column:
+    """CIEDE2000 difference of two L*a*b* colours, unit weights."""
+    (l1, a1, b1), (l2, a2, b2) = first, second
+    chroma = (F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2
+    g = 0.5 * (1 - F.sqrt(F.pow(chroma, 7) / (F.pow(chroma, 7) + 25.0**7)))
+    p1, p2 = a1 * (1 + g), a2 * (1 + g)
+    c1, c2 = F.sqrt(p1 * p1 + b1 * b1), F.sqrt(p2 * p2 + b2 * b2)
+    hue = lambda b, a: F.when((a == 0) & (b == 0), F.lit(0.0)).otherwise(F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)))
+    h1, h2 = hue(b1, p1), hue(b2, p2)
+    grey = (c1 * c2) == 0
+    turn = h2 - h1
+    turn = F.when(grey, F.lit(0.0)).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
+    d_hue = 2 * F.sqrt(c1 * c2) * F.sin(F.radians(turn / 2))
+    light, sat = (l1 + l2) / 2, (c1 + c2) / 2
+    total = h1 + h2
+    mean = F.when(grey, total).when(F.abs(h1 - h2) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+    cos = lambda k, off: F.cos(F.radians(mean * k + off))
+    t = 1 - 0.17 * cos(1, -30) + 0.24 * cos(2, 0) + 0.32 * cos(3, 6) - 0.20 * cos(4, -63)
+    off = (light - 50) * (light - 50)
+    sl, sc, sh = 1 + 0.015 * off / F.sqrt(20 + off), 1 + 0.045 * sat, 1 + 0.015 * sat * t
+    around = (mean - 275) / 25
+    turned = -2 * F.sqrt(F.pow(sat, 7) / (F.pow(sat, 7) + 25.0**7)) * F.sin(F.radians(60 * F.exp(-around * around)))
+    x, y, z = (l2 - l1) / sl, (c2 - c1) / sc, d_hue / sh
+    return F.sqrt(x * x + y * y + z * z + turned * y * z)
+
+
 # coordinates
 
 

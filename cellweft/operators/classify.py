@@ -273,6 +273,80 @@ def recursive_clusters(cells: DataFrame, cluster: Callable[[DataFrame], DataFram
     return out
 
 
+def kfold_regression(cells: DataFrame, targets: DataFrame, n: int, folds: int = 2, k: int = 5, metric: str = "euclidean", seed: int = 0) -> DataFrame:
+    """(id, bits, predicted): each fold's targets (id, target array of n) predicted as the mean of the k nearest cells of the other folds."""
+    placed = materialize(cells.select("id", "bits").withColumn("_f", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(folds))))
+    out = None
+    for f in range(folds):
+        near = N.knn_features(placed.filter(F.col("_f") == f), placed.filter(F.col("_f") != f), k, metric)
+        got = N.knn_mean(near, targets, "target", n).withColumnRenamed("target", "predicted")
+        out = got if out is None else out.unionByName(got)
+    return out.join(targets, "id")
+
+
+class OptimalCommunities(Classifier):
+    """Types as communities of the feature graph at the resolution whose zones carry the most conditional entropy, agreed by several runs; new cells take the type of the nearest."""
+
+    def __init__(self, spatial_edges: DataFrame, feature_edges: DataFrame, iterations: int = 4, runs: int = 3, metric: str = "correlation") -> None:
+        self.spatial, self.features, self.iterations, self.runs, self.metric = spatial_edges, feature_edges, iterations, runs, metric
+
+    def train(self, reference: DataFrame) -> OptimalCommunities:
+        from cellweft.operators import graph
+
+        nodes = reference.select("id", "section", "x", "y", "type_ix")
+        whole = nodes.withColumn("section", F.lit("all"))
+        self.resolution = graph.best_resolution(self.features, whole, iterations=self.iterations)
+        self.labels = materialize(graph.consensus(self.features, whole, self.resolution, self.runs).withColumnRenamed("community", "label"))
+        self.nearest = NearestNeighbours(1, self.metric).train(reference.join(self.labels, "id"))
+        return self
+
+    def classify(self, cells: DataFrame) -> DataFrame:
+        return self.nearest.classify(cells)
+
+
+def subsampled_communities(cells: DataFrame, every: int = 10, window: float = 0.3, k: int = 15, resolution: float = 1.0, seed: int = 0) -> DataFrame:
+    """(id, community): every n-th cell of each section, linked to its nearest sampled cells in sections within a distance (column z), clustered; the other cells take the commonest community of their nearest sampled cells."""
+    from cellweft.operators import graph
+    from cellweft.operators.relational import every_nth
+
+    sample = materialize(every_nth(cells, every, "section", "id").select("id", "section", "z", "bits"))
+
+    def near(queries: DataFrame, include_self: bool) -> DataFrame:
+        # sections within the window of each other, told by their mean depth
+        depth = sample.groupBy("section").agg(F.avg("z").alias("z"))
+        a, b = depth.select(F.col("section").alias("sa"), F.col("z").alias("za")), depth.select(F.col("section").alias("sb"), F.col("z").alias("zb"))
+        close = a.crossJoin(b).filter(F.abs(F.col("za") - F.col("zb")) <= window).select("sa", "sb")  # sections, not cells
+        q = queries.select(F.col("id").alias("src"), F.col("section").alias("sa"), F.col("bits").alias("_a")).join(close, "sa")
+        pairs = q.join(sample.select(F.col("id").alias("dst"), F.col("section").alias("sb"), F.col("bits").alias("_b")), "sb")
+        pairs = pairs if include_self else pairs.filter("src <> dst")
+        return N._top(pairs.select("src", "dst", N.METRICS["correlation"](F.col("_a"), F.col("_b")).alias("dist")), k)
+
+    edges = materialize(near(sample, False).select("src", "dst"))
+    got = materialize(graph.communities(edges, sample.select("id", F.lit("all").alias("section")), resolution, seed))
+    rest = cells.join(sample.select("id"), "id", "left_anti")
+    votes = near(rest, True).join(got.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.mode("community", True).alias("community"))
+    return got.unionByName(votes)
+
+
+def align(reference: DataFrame, cells: DataFrame, prior: DataFrame, clusters: DataFrame, n: int, make: Callable[[], FittedModel] | None = None, resample: int = 500_000, least: int = 10) -> DataFrame:
+    """(id, label): the steps of a whole alignment.
+
+    The reference is resampled by the labels' prior weight; both sides are standardised; clusters vote neuron or not, which rules out the labels of the
+    other kind; the dendrogram of label profiles is walked with a model at each split. reference: (id, bits, label, flag), clusters: (id, community).
+    """
+    weight = prior.groupBy("label").agg(F.sum("p").alias("_w"))
+    from cellweft.operators.relational import weighted_resample
+
+    drawn = materialize(weighted_resample(reference.join(weight, "label"), "label", "_w", resample, least, "id"))
+    ref, own = Z.zscore(drawn, "bits", n), Z.zscore(cells, "bits", n)
+    flags = cluster_vote(ref.withColumn("label", F.col("flag")), own, clusters, n)
+    kinds = reference.groupBy("label").agg(F.first("flag").alias("_kind"))
+    allowed = prior.join(kinds, "label").join(flags.withColumnRenamed("label", "_flag"), "id", "left")
+    allowed = materialize(allowed.filter(F.col("_flag").isNull() | (F.col("_flag") == F.col("_kind"))).select("id", "label", "p"))
+    med = ref.groupBy("label").agg(F.array(*[F.median(F.col("bits")[i]) for i in range(n)]).alias("m")).orderBy("label").toPandas()  # a taxonomy
+    return supervised_walk(ref.select("id", "bits", "label"), own.select("id", "bits"), allowed, ward(np.array(med["m"].tolist())), med["label"].tolist(), make or logistic)
+
+
 # dendrograms
 
 

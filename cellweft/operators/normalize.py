@@ -355,6 +355,26 @@ def harmonise(df: DataFrame, reference: DataFrame, bits: str, n: int) -> DataFra
     return step.withColumn(bits, _each(bits, lambda x, m, d, rm, rd: ((x - m) / F.nullif(d, F.lit(0.0)) + rm) * rd, now["med"], now["sd"], ref["med"], ref["sd"]))
 
 
+def harmonise_by_group(df: DataFrame, reference: DataFrame, bits: str, n: int, label: str = "label", section: str = "section", points: int = 21) -> DataFrame:
+    """Each (label, section) group's features mapped on the quantiles of the reference cells of that label; labels that the reference lacks stay as they are.
+
+    Quantile tables of both sides are aggregates; rows are mapped by expressions, so that no group has to fit into a task.
+    """
+    at = [k / (points - 1) for k in range(points)]
+    q = lambda name: [F.array(*[F.percentile(F.col(bits)[i], at) for i in range(n)]).alias(name)]
+    own = df.groupBy(label, section).agg(*q("_own"))
+    ref = reference.groupBy(label).agg(*q("_ref"))
+    rows = df.join(own, [label, section]).join(ref, label, "left")
+
+    def mapped(x: Column, i: Column) -> Column:
+        a, b = F.element_at(F.col("_own"), i + 1), F.element_at(F.col("_ref"), i + 1)
+        k = F.greatest(F.lit(1), F.least(F.size(F.filter(a, lambda t: t < x)), F.lit(points - 1)))
+        x0, x1, y0, y1 = F.element_at(a, k), F.element_at(a, k + 1), F.element_at(b, k), F.element_at(b, k + 1)
+        return F.when(F.col("_ref").isNull(), x).when(x1 == x0, x - x0 + y0).otherwise(y0 + (x - x0) * (y1 - y0) / (x1 - x0))
+
+    return rows.withColumn(bits, F.transform(F.col(bits), mapped)).drop("_own", "_ref")
+
+
 def diagonal_order(m: np.ndarray, threshold: float | None = None) -> tuple[list[int], list[int]]:
     """Row and column order that brings the largest entries of a small matrix to the diagonal, greedily."""
     left, rows, cols = m.astype(float).copy(), [], []

@@ -328,6 +328,19 @@ def smooth(raster: DataFrame, sigma: float, normalised: bool = True, axes: tuple
     return r.withColumn("value", F.col("value") / F.col("_m")).drop("_m").join(raster.filter(F.col("value").isNotNull()).select(*keys), keys, "left_semi")
 
 
+def zoom(raster: DataFrame, rows: int, cols: int, factor: float) -> DataFrame:
+    """Raster of a shape resized by linear interpolation, corners on corners; absent and null cells are left out of the weights, and a result without any weight is absent."""
+    out = (max(1, round(rows * factor)), max(1, round(cols * factor)))
+    at = lambda c, n, m: F.col(c) * F.lit((n - 1) / max(m - 1, 1))
+    # each known cell feeds the result cells within one step of it
+    scale = [(m - 1) / max(n - 1, 1) for n, m in zip((rows, cols), out, strict=True)]
+    near = lambda c, k, m: F.sequence(F.greatest(F.lit(0), F.ceil((F.col(c) - 1) * scale[k])).cast("int"), F.least(F.lit(m - 1), F.floor((F.col(c) + 1) * scale[k])).cast("int"))
+    r = raster.filter(F.col("value").isNotNull()).withColumn("_r", F.explode(near("row", 0, out[0]))).withColumn("_c", F.explode(near("col", 1, out[1])))
+    w = F.greatest(F.lit(0.0), 1 - F.abs(at("_r", rows, out[0]) - F.col("row"))) * F.greatest(F.lit(0.0), 1 - F.abs(at("_c", cols, out[1]) - F.col("col")))
+    s = r.withColumn("_w", w).groupBy(F.col("_r").alias("row"), F.col("_c").alias("col")).agg(F.sum(F.col("value") * F.col("_w")).alias("_v"), F.sum("_w").alias("_w"))
+    return s.filter("_w > 0").select("row", "col", (F.col("_v") / F.col("_w")).alias("value"))
+
+
 def dilate(raster: DataFrame, reach: int = 1) -> DataFrame:
     """Maximum over the square of cells around each cell reached."""
     step = F.sequence(F.lit(-reach), F.lit(reach))
@@ -454,6 +467,43 @@ def filter_image(img: np.ndarray, how: str, value: float) -> np.ndarray:
     return np.zeros_like(img, float)
 
 
+def edge_preserving(img: np.ndarray, alpha: float = 1.0, beta: float = 0.1, epsilon: float = 0.05, rounds: int = 5, inner: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """(smoothed image, edge map): smoothing that stops at edges, by alternating two linear problems, each solved by conjugate gradients.
+
+    The image u minimises |u - img|^2 + alpha * v^2 |grad u|^2; the edge map v (1: no edge) minimises alpha * v^2 |grad u|^2 + beta * (epsilon |grad v|^2 + (1 - v)^2 / (4 epsilon)).
+    """
+
+    def grad(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.diff(a, axis=0, append=a[-1:]), np.diff(a, axis=1, append=a[:, -1:])
+
+    def div(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The negative adjoint of grad."""
+        p, q = p.copy(), q.copy()
+        p[-1], q[:, -1] = 0, 0
+        return np.diff(p, axis=0, prepend=0) + np.diff(q, axis=1, prepend=0)
+
+    def solve(apply, right: np.ndarray, x: np.ndarray) -> np.ndarray:  # noqa: ANN001
+        r = right - apply(x)
+        d, rr = r.copy(), (r * r).sum()
+        for _ in range(inner):
+            if rr < 1e-12:
+                break
+            ad = apply(d)
+            step = rr / (d * ad).sum()
+            x, r = x + step * d, r - step * ad
+            new = (r * r).sum()
+            d, rr = r + new / rr * d, new
+        return x
+
+    u, v = img.astype(float).copy(), np.ones(img.shape)
+    for _ in range(rounds):
+        w = v * v
+        u = solve(lambda a, w=w: a - alpha * div(*(w * g for g in grad(a))), img.astype(float), u)
+        slope = sum(g * g for g in grad(u))
+        v = solve(lambda a, s=slope: (alpha * s + beta / (4 * epsilon)) * a - beta * epsilon * div(*grad(a)), np.full(img.shape, beta / (4 * epsilon)), v)
+    return u, v
+
+
 def flat_field(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(field, constant) rasters of a stack (image, row, col, value): per pixel, the least value is the constant and the median above it, relative to its mean, inverted, the field."""
     px = pixels.groupBy("row", "col").agg(F.percentile_approx("value", 0.01).cast("double").alias("constant"), F.median("value").alias("_m"))

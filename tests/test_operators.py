@@ -358,3 +358,60 @@ def test_environments_of_an_isolated_node(spark):
     env = environments.graph_environment(e, n, 1)
     assert {(r["id"], r["type_ix"], r["n"]) for r in env.collect()} == {(0, 1, 1), (0, 2, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1)}
     assert 2 not in {r["id"] for r in environments.local_abundance(e, n).collect()}
+
+
+def test_colour_difference_2000(spark):
+    # published test pairs of the formula
+    pairs = [((50.0, 2.6772, -79.7751), (50.0, 0.0, -82.7485), 2.0425), ((50.0, 2.5, 0.0), (73.0, 25.0, -18.0), 27.1492), ((2.0776, 0.0795, -1.1350), (0.9033, -0.0636, -0.5514), 0.9082)]
+    for a, b, want in pairs:
+        got = spark.range(1).select(S.delta_e_2000(tuple(map(F.lit, a)), tuple(map(F.lit, b)))).first()[0]
+        assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_zoom_is_linear_and_skips_holes(spark):
+    r = spark.createDataFrame([(i, j, float(i + 2 * j)) for i in range(3) for j in range(3)], "row int, col int, value double")
+    got = {(x["row"], x["col"]): x["value"] for x in spatial.zoom(r, 3, 3, 5 / 3).collect()}
+    assert len(got) == 25 and got[(1, 1)] == pytest.approx(1.5) and got[(4, 4)] == pytest.approx(6)
+    assert (2, 2) not in {(x["row"], x["col"]) for x in spatial.zoom(r.filter("row <> 1 or col <> 1"), 3, 3, 5 / 3).collect()}
+
+
+def test_edge_preserving_smoothing_keeps_a_step():
+    rng = np.random.default_rng(8)
+    step = np.repeat([[0.0] * 10 + [1.0] * 10], 20, axis=0)
+    u, v = spatial.edge_preserving(step + rng.normal(0, 0.05, step.shape), alpha=4.0, beta=0.05)
+    assert u[:, :9].std() < 0.05 and u[:, 11:].mean() - u[:, :9].mean() > 0.8 and v[:, 9].mean() < v[:, 3].mean()
+
+
+def test_group_harmonisation(spark):
+    rng = np.random.default_rng(9)
+    ref = spark.createDataFrame([(i, [float(x)], "a") for i, x in enumerate(rng.normal(10, 2, 200))], "id int, bits array<double>, label string")
+    own = spark.createDataFrame([(i, [float(x)], "a" if i < 300 else "z", f"s{i % 2}") for i, x in enumerate(rng.normal(0, 1, 320))], "id int, bits array<double>, label string, section string")
+    got = normalize.harmonise_by_group(own, ref, "bits", 1)
+    m = got.filter("label = 'a'").agg(F.avg(F.col("bits")[0]), F.stddev(F.col("bits")[0])).first()
+    assert abs(m[0] - 10) < 0.3 and abs(m[1] - 2) < 0.3
+    assert got.filter("label = 'z'").join(own.select("id", F.col("bits").alias("o")), "id").filter("bits <> o").count() == 0
+
+
+def _blobs(spark, n=90):
+    rng = np.random.default_rng(10)
+    centre = np.array([[0, 0, 5, 1], [5, 0, 0, 2], [0, 5, 0, 9.0]])
+    return spark.createDataFrame(
+        [(i, [float(v) for v in rng.normal(size=4) * 0.2 + centre[i % 3]], "abc"[i % 3], "N" if i % 3 else "M", f"s{i % 2}", float(i % 2) * 0.1) for i in range(n)],
+        "id long, bits array<double>, label string, flag string, section string, z double",
+    )
+
+
+def test_kfold_regression_of_blobs(spark):
+    d = _blobs(spark)
+    got = classify.kfold_regression(d, d.select("id", F.col("bits").alias("target")), 4)
+    assert stats.paired_mse(got, "target", "predicted", 4).first()["r2"] > 0.9 and got.count() == 90
+
+
+def test_alignment_and_subsampled_communities(spark):
+    d = _blobs(spark)
+    communities = classify.subsampled_communities(d, every=2, k=5, resolution=0.5)
+    assert communities.join(d, "id").groupBy("community").agg(F.countDistinct("label").alias("k")).agg(F.max("k")).first()[0] == 1
+    prior = d.select("id", F.explode(F.array(*[F.lit(x) for x in "abc"])).alias("label")).withColumn("p", F.lit(1 / 3))
+    got = classify.align(d, d.select("id", "bits"), prior, communities, 4, resample=90)
+    want = {r["id"]: r["label"] for r in d.collect()}
+    assert np.mean([want[r["id"]] == r["label"] for r in got.collect()]) > 0.95
