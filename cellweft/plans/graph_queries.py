@@ -45,7 +45,7 @@ def local_density(spark, sf):
 
 
 _FEATURE = (
-    "WITH " + L + ", d AS (SELECT a.id AS src, b.id AS dst, 1 - sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) AS dist FROM l a JOIN l b ON a.bit = b.bit AND a.id <> b.id AND a.id % 10 = 0 GROUP BY 1, 2), "
+    "WITH " + L + ", d AS (SELECT a.id AS src, b.id AS dst, 1 - sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) AS dist FROM l a JOIN l b ON a.bit = b.bit AND a.id <> b.id GROUP BY 1, 2), "
     "n AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(dist, 12), dst) AS rank FROM d), k AS (SELECT * FROM n WHERE rank <= 5) "
 )
 
@@ -53,20 +53,20 @@ _FEATURE = (
 @query(_FEATURE + "SELECT src, dst, " + R("dist", "dist") + ", rank FROM k")
 def knn_features_cosine(spark, sf):
     c = cells(spark, sf)
-    return N.knn_features(c.filter("id % 10 = 0"), c, 5, "cosine").select("src", "dst", r6("dist").alias("dist"), F.col("rank").cast("long").alias("rank"))
+    return N.knn_features(c, c, 5, "cosine").select("src", "dst", r6("dist").alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(_FEATURE + ", s AS (SELECT src, type_ix, count(*) AS n FROM k JOIN c ON c.id = dst GROUP BY 1, 2) SELECT src AS id, arg_min(type_ix, -n * 1000 + type_ix) AS label FROM s GROUP BY 1")
 def knn_vote(spark, sf):
     c = cells(spark, sf)
-    near = N.knn_features(c.filter("id % 10 = 0"), c, 5, "cosine")
+    near = N.knn_features(c, c, 5, "cosine")
     return N.majority(N.vote(near, c.select("id", F.col("type_ix").alias("label"))))
 
 
 @query(_FEATURE + ", m AS (SELECT k.src AS id, l.bit, avg(l.v) AS v FROM k JOIN l ON l.id = k.dst GROUP BY 1, 2) SELECT id, bit, " + R("v") + " FROM m")
 def knn_imputation(spark, sf):
     c = cells(spark, sf)
-    m = N.knn_mean(N.knn_features(c.filter("id % 10 = 0"), c, 5, "cosine"), c, "bits", BITS)
+    m = N.knn_mean(N.knn_features(c, c, 5, "cosine"), c, "bits", BITS)
     return m.select("id", F.posexplode("bits").alias("bit", "v")).withColumn("v", r6("v"))
 
 
