@@ -163,7 +163,7 @@ def watershed(edges: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
     return state
 
 
-def fill_small_zones(edges: DataFrame, nodes: DataFrame, least: int, rounds: int = 20) -> DataFrame:
+def fill_small_zones(edges: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
     """(id, type_ix): nodes of zones smaller than `least` take the commonest type of their neighbours outside such zones, ring by ring; ties to the smaller type."""
     zones = same_type_components(edges, nodes)
     size = zones.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
@@ -171,9 +171,7 @@ def fill_small_zones(edges: DataFrame, nodes: DataFrame, least: int, rounds: int
     fixed = materialize(z.filter(F.col("_n") >= least).select("id", "type_ix"))
     open_nodes = materialize(z.filter(F.col("_n") < least).select("id", "type_ix"))
     e = both_ways(simple_edges(edges))
-    for _ in range(rounds):
-        if not open_nodes.limit(1).count():
-            break
+    while open_nodes.limit(1).count():
         votes = open_nodes.select(F.col("id").alias("src")).join(e, "src").join(fixed.withColumnRenamed("id", "dst"), "dst").groupBy("src", "type_ix").agg(F.count(F.lit(1)).alias("n"))
         won = materialize(votes.groupBy(F.col("src").alias("id")).agg(F.min_by("type_ix", F.struct(-F.col("n"), F.col("type_ix"))).alias("type_ix")))
         if not won.limit(1).count():

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from cellweft.operators import graph
 from cellweft.plans.catalogue import QUERIES
 from cellweft.plans.fixtures import BITS
 
@@ -41,3 +42,12 @@ def test_every_cell_has_imputed_features(spark, nearest):
     got = QUERIES["knn_imputation"](spark, SF).toPandas().sort_values(["id", "bit"])
     assert got["id"].tolist() == np.repeat(ids, BITS).tolist()
     assert np.allclose(got["v"], v[best].mean(1).ravel(), atol=2e-6)
+
+
+def test_small_zones_are_filled_to_any_depth(spark):
+    side, deep = 4, 23
+    nodes = spark.createDataFrame([(i, 9 if i < side else i % 2) for i in range(side + deep)] + [(100, 0), (101, 1)], "id long, type_ix long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(side + deep - 1)] + [(100, 101)], "src long, dst long")
+    got = {r["id"]: r["type_ix"] for r in graph.fill_small_zones(edges, nodes, side).collect()}
+    # the pair that no large zone reaches keeps its types
+    assert got == {i: 9 for i in range(side + deep)} | {100: 0, 101: 1}
