@@ -225,7 +225,7 @@ def graph_triangle_types(spark, sf):
 @query()
 def graph_enrichment(spark, sf):
     n, e = grid(spark, sf)
-    return Gr.edge_enrichment(e, n, 20).select("a", "b", *[r6(c).alias(c) for c in ("obs", "expected", "enrichment", "p", "q")])
+    return Gr.edge_enrichment(e, n).select("a", "b", *[r6(c).alias(c) for c in ("obs", "expected", "enrichment", "p", "q")])
 
 
 @query()
@@ -249,13 +249,13 @@ def graph_resolution_sweep(spark, sf):
 @query()
 def percolation(spark, sf):
     c = cells(spark, sf)
-    return Gr.percolate(N.knn_plane(c, 6), c, 51).withColumn("entropy", r6("entropy"))
+    return Gr.percolate(N.knn_plane(c, 6), c).withColumn("entropy", r6("entropy"))
 
 
 @query()
 def percolation_score(spark, sf):
     c = cells(spark, sf)
-    p = Gr.percolate(N.knn_plane(c, 6), c, 51)
+    p = Gr.percolate(N.knn_plane(c, 6), c)
     curve = lambda kind: p.filter(F.col("kind") == kind).drop("kind")
     return Gr.percolation_score(curve("real"), curve("permuted")).withColumn("score", r6("score"))
 

@@ -247,14 +247,14 @@ def classify_iterative(spark, sf):
 @query()
 def classify_bagging(spark, sf):
     c = _labelled(spark, sf)
-    return K.bagging(c.filter("id % 5 <> 0"), c.filter("id % 5 = 0"), lambda: K.NearestNeighbours(1, "cosine"), 3, 20)
+    return K.bagging(c.filter("id % 5 <> 0"), c.filter("id % 5 = 0"), lambda: K.NearestNeighbours(1, "cosine"))
 
 
 @query()
 def topic_model(spark, sf):
     c = cells(spark, sf)
     env = environments.environment_vector(environments.knn_environment(N.knn_plane(c, 10, include_self=True), c), 10)
-    return K.topics(env, 10, [2, 3], max_iter=5)[1].select("id", "topic")
+    return K.topics(env, 10, np.geomspace(2, 100, 10).astype(int).tolist())[1].select("id", "topic")
 
 
 @query()

@@ -1,10 +1,12 @@
 """Registered queries do the whole job: brute force, and inputs beyond former limits."""
 
+import inspect
+
 import numpy as np
 import pandas as pd
 import pytest
 
-from cellweft.operators import graph
+from cellweft.operators import classify, graph
 from cellweft.plans.catalogue import QUERIES
 from cellweft.plans.fixtures import BITS
 
@@ -51,3 +53,28 @@ def test_small_zones_are_filled_to_any_depth(spark):
     got = {r["id"]: r["type_ix"] for r in graph.fill_small_zones(edges, nodes, side).collect()}
     # the pair that no large zone reaches keeps its types
     assert got == {i: 9 for i in range(side + deep)} | {100: 0, 101: 1}
+
+
+def test_enrichment_has_a_hundred_permutations(spark):
+    p = QUERIES["graph_enrichment"](spark, SF).toPandas()["p"] * 101
+    assert np.allclose(p, p.round(), atol=1e-4) and p.min() >= 2 - 1e-4
+
+
+def test_percolation_has_all_steps(spark):
+    got = QUERIES["percolation"](spark, SF).toPandas()
+    assert (got.groupby(["kind", "section"])["p"].nunique() == 101).all()
+
+
+@pytest.mark.parametrize(("name", "operator", "want"), [("classify_bagging", "bagging", {"estimators": 10, "per_class": 100}), ("topic_model", "topics", {"candidates": [2, 3, 4, 7, 11, 17, 27, 41, 64, 100], "max_iter": 20})])
+def test_models_are_registered_in_full(spark, monkeypatch, name, operator, want):
+    signature, seen = inspect.signature(getattr(classify, operator)), []
+
+    def asked(*a, **b):
+        seen.append(signature.bind(*a, **b))
+        raise InterruptedError
+
+    monkeypatch.setattr(classify, operator, asked)
+    with pytest.raises(InterruptedError):
+        QUERIES[name](spark, SF)
+    seen[0].apply_defaults()
+    assert {k: seen[0].arguments[k] for k in want} == want
