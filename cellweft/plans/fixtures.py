@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Features taken from an embedding, moved to positive values.
-BITS = 8
+#: Features of an embedding, all of them, moved to positive values.
+BITS = 64
 WIDTH = 40
 
 

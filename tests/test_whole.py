@@ -8,7 +8,7 @@ import pytest
 
 from cellweft.operators import classify, graph
 from cellweft.plans.catalogue import QUERIES
-from cellweft.plans.fixtures import BITS
+from cellweft.plans.fixtures import BITS, cells
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +78,9 @@ def test_models_are_registered_in_full(spark, monkeypatch, name, operator, want)
         QUERIES[name](spark, SF)
     seen[0].apply_defaults()
     assert {k: seen[0].arguments[k] for k in want} == want
+
+
+def test_all_of_an_embedding_is_bound(spark):
+    d = pd.read_parquet(f"{SF}/embeddings.parquet").sort_values("vec_id")
+    got = cells(spark, SF).orderBy("id").toPandas()
+    assert np.allclose(np.stack(got["bits"]), np.stack(d["embedding"]).astype(float) * 100 + 50)
