@@ -56,16 +56,80 @@ def test_secret_base_spans(spark, odd_docs, documents):
     assert got == {i: brute_secrets(t or "") for i, t in enumerate(texts)}
 
 
-def test_secret_entropy_windows(spark):
-    cls = secret_scan.BASE64_CLASS
-    values = ["q8Zr2LmX0vB7nT5yKd3W" + "a" * 30, "a" * 50, "Ab1" * 20, "9fK2mQ7xZ4bN8rT1vW6yLpD3sH5j"]
-    df = spark.createDataFrame([(v,) for v in values], "v string").coalesce(1)
-    got = [[(s["start"], s["end"]) for s in r[0]] for r in df.select(secret_scan.high_windows(secret_scan.F.col("v"), cls)).collect()]
-    for v, spans in zip(values, got, strict=True):
-        high = [i for i in range(len(v) - cls.window + 1) if sum(secret_scan.n_log_n(n) for n in Counter(v[i : i + cls.window]).values()) <= secret_scan.most_repetition(cls)]
-        assert {p for a, b in spans for p in range(a, b)} == {p for i in high for p in range(i, i + cls.window)}
-    allowed = spark.createDataFrame([("thequickbrownfoxjumpsoverthelazydog 123e4567-e89b-42d3-a456-426614174000 ThisIsCamelCaseTextHere",)], "text string")
-    assert not [s for s in secret_scan.scan(allowed).first()["secrets"] if s["kind"].startswith("entropy")]
+def brute_spans(t):
+    """All spans, windows counted one by one over a copy of the text in which what is found turns blank."""
+    spans = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in brute_secrets(t).split(",") if x)]
+    rest = list(t)
+    for a, b, _ in spans:
+        rest[a:b] = " " * (b - a)
+    for word in secret_scan.ALLOWED_WORDS:
+        rest = list(re.sub(word, " " * len(word), "".join(rest), flags=re.IGNORECASE | re.ASCII))
+    for cls in secret_scan.CLASSES:
+        high = set()
+        for run in re.finditer(cls.pattern, "".join(rest)):
+            v = run[0]
+            if not any(re.search(p, v) and not (x and re.search(x, v)) for p, x in secret_scan.ALLOWED):
+                for i in range(len(v) - cls.window + 1):
+                    if sum(secret_scan.n_log_n(n) for n in Counter(v[i : i + cls.window]).values()) <= secret_scan.most_repetition(cls):
+                        high |= {(run.start(), run.start() + p) for p in range(i, i + cls.window)}
+        for _, p in sorted(high):
+            if spans and spans[-1][2] == cls.name and spans[-1][1] == p and (_, p - 1) in high:
+                spans[-1] = (spans[-1][0], p + 1, cls.name)
+            else:
+                spans.append((p, p + 1, cls.name))
+        for a, b, k in spans:
+            if k == cls.name:
+                rest[a:b] = " " * (b - a)
+    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], secret_scan.KINDS.index(s[2]))))
+
+
+def test_secret_spans_against_brute_force(spark, odd_docs, documents):
+    rng = np.random.default_rng(8)
+    random = lambda chars, n: "".join(rng.choice(list(chars), n))
+    alphabet = secret_scan.BASE64_CLASS.alphabet
+    texts = [r["text"] or "" for r in odd_docs.collect() if r["text"] is None or len(r["text"]) < 5000] + documents["text"].tolist()[:40]
+    texts += [f"é {random(alphabet, 700)} {random('ABab01', 400)}", random(alphabet, 300) + "a" * 300 + random(alphabet, 260), random("0123456789abcdefABCDEF", 600)]
+    texts += ["AKIA" + "A1B2C3D4E5F6G7" + "/" + random(alphabet[:62], 40), "samples/v1/" + random(alphabet[:62], 40) + "/xxxx/", "deadbeef" * 3 + random(alphabet[:62], 30)]
+    texts += [" ".join(random(alphabet, 25) for _ in range(600)), "secret=" + "a1" * 9 + " token:" + "b2" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: r["s"] for r in secret_scan.scan(df).select("i", secret_scan.listed(secret_scan.F.col("secrets")).alias("s")).collect()}
+    want = {i: brute_spans(t) for i, t in enumerate(texts)}
+    assert [i for i in want if got[i] != want[i]] == []
+    assert "entropy" in got[len(texts) - 5] and "entropy" in got[len(texts) - 4]  # beside a known form, and beside an allow-list word
+
+
+def test_secrets_are_replaced_piece_by_piece(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 50)
+    monkeypatch.setattr(secret_scan, "SUMS", 3)
+    rng = np.random.default_rng(9)
+    texts = []
+    for _ in range(30):
+        words = [str(rng.choice(["é", "\U0001f600x", "word", "0123456789abcdef" * int(rng.integers(1, 8)), "token=abcdefghijkl0123456789abcdef99"])) for _ in range(30)]
+        texts.append(" ".join(words))
+    got = {r["i"]: r["text"] for r in secret_scan.redact(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    for i, t in enumerate(texts):
+        want, end = "", 0
+        spans = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in brute_spans(t).split(",") if x))
+        for a, b in spans:
+            want, end = (want + t[end:a] + "[SECRET]", b) if a >= end else (want, max(end, b))
+        assert got[i] == want + t[end:]
+
+
+def test_secret_scan_of_long_runs(spark):
+    """Runs of a megabyte: names, paths, random characters, and as many matches as fit."""
+    rng = np.random.default_rng(10)
+    n = 1_000_000
+    runs = ["Ab" * (n // 2) + "1", "Ab" * (n // 2), "src/main" * (n // 8), "a1/b2" * (n // 5), "".join(rng.choice(list(secret_scan.BASE64_CLASS.alphabet[:64]), n)), "0123456789abcdef " * (n // 17)]
+    df = spark.createDataFrame(list(enumerate(runs)), "i int, text string").repartition(6, "i")
+    got = {r["i"]: r for r in secret_scan.scan(df).select("i", secret_scan.F.size("base").alias("base"), secret_scan.F.size("secrets").alias("n"), "secrets").collect()}
+    assert [got[i]["n"] for i in (0, 1, 2, 3)] == [0] * 4 and got[5]["base"] == n // 17
+    assert sum(s["end"] - s["start"] for s in got[4]["secrets"]) > 0.99 * n
+    assert {r["i"]: r["text"] for r in secret_scan.redact(df.filter("i >= 4")).collect()}[5] == "[SECRET] " * (n // 17)
+
+
+def test_secret_allow_list(spark):
+    allowed = "thequickbrownfoxjumpsoverthelazydog 123e4567-e89b-42d3-a456-426614174000 ThisIsCamelCaseTextHere src/main/some_long/path ANUPPERCASEWORDOFLENGTH"
+    assert not secret_scan.scan(spark.createDataFrame([(allowed,)], "text string")).first()["secrets"]
 
 
 # 3
