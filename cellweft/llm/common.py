@@ -54,6 +54,26 @@ def compact(df: DataFrame, rows_per_part: int = 20_000) -> tuple[DataFrame, int]
     return done.coalesce(parts), parts
 
 
+#: A key is hot if it holds more rows than this, and more than a quarter of an even partition.
+HOT_ROWS = 1024
+
+
+def hot_limit(spark: SparkSession, rows: int) -> int:
+    """Rows above which a key is hot; at most four times as many keys as shuffle partitions can be."""
+    return max(HOT_ROWS, rows // (4 * shuffle_partitions(spark)))
+
+
+def join_unique(left: DataFrame, right: DataFrame, on: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left with the columns of right, which holds each key once; how is inner or left.
+
+    hot: the keys above hot_limit in left. Their rows stay where they are, and their few rows of right are broadcast; only the
+    others are shuffled by the key, so that no task holds more than its share of a hot one.
+    """
+    keys = F.broadcast(materialize(hot.select(on)))
+    few = keys.join(materialize(right.join(keys, on, "left_semi")), on, how)
+    return left.join(F.broadcast(few), on).unionByName(left.join(keys, on, "left_anti").join(right, on, how))
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as long; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -9,12 +9,12 @@ makes the work per shingle one draw and a comparison; texts with a register left
 
 Registers are banded; texts that share a band are candidates, and candidates are verified by the exact multiset overlap. Texts with
 equal multisets are one node from the start. Buckets of few nodes pair all of theirs; in larger ones everything is compared with
-the bucket's centre first. Where different classes still meet in such a bucket, what is outside its commonest class is compared
-with everything in it, block against block, exactly; a block hands on as many links as join its classes, not all pairs. Classes are the
-connected components of verified links.
+the bucket's centre first, in hot ones with the centre of a part of the bucket, and the centres with one another's least. Where different classes still
+meet in such a bucket, what is outside its commonest class is compared with everything in it, block against block, exactly, each pair in the first band
+that it shares; a block hands on as many links as join its classes, not all pairs. Classes are the connected components of verified links.
 
 Null and empty texts and rows without a key are classes of their own; texts without a word are grouped if equal; repeated rows share a
-class; an empty table gives an empty result; extra columns are ignored.
+class, and rows that share a key but not the text are told apart; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import compact, map_rows, materialize
+from cellweft.llm.common import compact, hot_limit, join_unique, map_rows, materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -38,6 +38,8 @@ SMALL = 8
 #: Nodes of one side in a block of the last comparison, and different elements that are compared at a time.
 BLOCK = 512
 COLUMNS = 4096
+#: Bytes of an element: two different shingles of a pair of thousand-word texts meet by chance once in 10**8 pairs.
+ELEMENT = 6
 
 _U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -150,10 +152,20 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def elements(x: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """A multiset as a set: the k-th occurrence of a shingle is an element of its own. Sorted 32-bit values."""
+    """A multiset as a set: the k-th occurrence of a shingle is an element of its own. Sorted values of ELEMENT bytes."""
     rep = np.repeat(x, count)
     k = np.arange(len(rep)) - np.repeat(np.cumsum(count) - count, count)
-    return np.unique((mix(rep + k.astype(_U) * _U(_BASE)) >> _U(32)).astype(np.uint32))
+    return np.unique(mix(rep + k.astype(_U) * _U(_BASE)) >> _U(64 - 8 * ELEMENT))
+
+
+def packed(values: np.ndarray) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ELEMENT].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // ELEMENT, 8), np.uint8)
+    out[:, :ELEMENT] = np.frombuffer(raw, np.uint8).reshape(-1, ELEMENT)
+    return out.view("<u8").ravel()
 
 
 def _runs(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -181,13 +193,13 @@ def describe(texts: list[bytes], sign_them: bool = True) -> Iterator[tuple[bytes
         for i in range(b - a):
             own = slice(cuts[i], cuts[i + 1])
             if own.start == own.stop:
-                yield hashlib.md5(b"no word" + texts[a + i]).digest(), 0, None, np.zeros(0, np.uint32), sig[i]
+                yield hashlib.md5(b"no word" + texts[a + i]).digest(), 0, None, np.zeros(0, _U), sig[i]
             else:
                 yield hashlib.md5(x[own].tobytes() + count[own].tobytes()).digest(), int(count[own].sum()), keys[i], elements(x[own], count[own]), sig[i]
 
 
 def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, node, n, keys)."""
+    """Rows (key, tid, node, n, keys); tid is the text's digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -196,9 +208,9 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
             place = {t: i for i, t in enumerate(dict.fromkeys(texts))}
             got = list((d[0], d[1], None if d[2] is None else d[2].tolist()) for d in describe(list(place)))
             rows = [got[place[t]] for t in texts]
-            yield pd.DataFrame({key: batch[key].to_numpy(), "node": [r[0] for r in rows], "n": [r[1] for r in rows], "keys": [r[2] for r in rows]})
+            yield pd.DataFrame({key: batch[key].to_numpy(), "tid": batch["tid"].to_numpy(), "node": [r[0] for r in rows], "n": [r[1] for r in rows], "keys": [r[2] for r in rows]})
 
-    return map_rows(docs, key, [text], run, "node binary, n long, keys array<long>")
+    return map_rows(docs, key, ["tid", text], run, "tid binary, node binary, n long, keys array<long>")
 
 
 def gather_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -206,7 +218,7 @@ def gather_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(d[0], d[3].tobytes()) for d in describe(_encode(batch[text]), sign_them=False)], columns=["node", "elements"])
+            yield pd.DataFrame([(d[0], packed(d[3])) for d in describe(_encode(batch[text]), sign_them=False)], columns=["node", "elements"])
 
     return docs.select(text).mapInPandas(run, "node binary, elements binary").groupBy("node").agg(F.first("elements").alias("elements"))
 
@@ -224,7 +236,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ok = [overlap(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= threshold for x, y in zip(batch["_a"], batch["_b"], strict=True)]
+            ok = [overlap(unpacked(x), unpacked(y)) >= threshold for x, y in zip(batch["_a"], batch["_b"], strict=True)]
             yield batch.loc[ok, ["a", "b"]]
 
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "_a", "_b").mapInPandas(run, "a binary, b binary")
@@ -249,13 +261,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _apart(members: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """Members of the buckets in which nodes of different labels meet."""
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).coalesce(parts)
-    mixed = named.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter(F.col("_lo") != F.col("_hi"))
-    return named.join(mixed.select("key"), "key")
-
-
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -264,8 +269,8 @@ def _close_in_size(threshold: float):  # noqa: ANN202
     return F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb")
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Jaccard similarities of all sets of one side with all of the other, through the elements that two sets share."""
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Numbers of elements that the sets of one side share with those of the other."""
     both = left + right
     values = np.concatenate(both)
     owner = np.repeat(np.arange(len(both)), [len(v) for v in both])
@@ -283,12 +288,26 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             m = np.zeros((len(both), COLUMNS), np.float32)
             m[owner[part], at[part] % COLUMNS] = 1
             common += m[: len(left)] @ m[len(left) :].T
-    sizes = np.array([len(v) for v in both], np.float32)
-    return common / np.maximum(sizes[: len(left), None] + sizes[None, len(left) :] - common, 1)
-
-
-def _joining(similar: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
-    """Of the similar pairs of different labels, as many as join the labels."""
+    return common
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray], asked: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the asked pairs overlap by the threshold. Few pairs are compared one by one, many through the elements that sets share."""
+    out = np.zeros(asked.shape, bool)
+    rows, cols = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
+    if np.count_nonzero(asked) <= 2 * (len(rows) + len(cols)):
+        for i, j in zip(*np.nonzero(asked), strict=True):
+            out[i, j] = overlap(left[i], right[j]) >= threshold
+        return out
+    a, b = [left[i] for i in rows], [right[j] for j in cols]
+    common = _common(a, b)
+    total = np.array([len(v) for v in a], np.float32)[:, None] + np.array([len(v) for v in b], np.float32)[None] - common
+    out[np.ix_(rows, cols)] = common >= (threshold - 1e-6) * np.maximum(total, 1)
+    return out & asked
+
+
+def _joining(close: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Of the close pairs of different labels, as many as join the labels."""
     parent = list(range(int(label.max()) + 1))
 
     def find(i: int) -> int:
@@ -298,7 +317,7 @@ def _joining(similar: np.ndarray, left: np.ndarray, right: np.ndarray, label: np
         return i
 
     out = []
-    for i, j in zip(*np.nonzero(similar & (label[left][:, None] != label[right][None, :])), strict=True):
+    for i, j in zip(*np.nonzero(close), strict=True):
         a, b = find(int(label[left[i]])), find(int(label[right[j]]))
         if a != b:
             parent[a] = b
@@ -306,17 +325,28 @@ def _joining(similar: np.ndarray, left: np.ndarray, right: np.ndarray, label: np
     return out
 
 
-def _rest(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) that join the different labels of a bucket.
+def _mixed(members: DataFrame) -> DataFrame:
+    """(key, _main, _others, _insiders) of the buckets in which nodes of different labels meet: the commonest label, and the nodes without and with it."""
+    each = members.select("key", "label").groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n"))
+    top = F.max(F.struct("_n", "label"))
+    info = each.groupBy("key").agg(F.count(F.lit(1)).alias("_labels"), top.alias("_top"), F.sum("_n").alias("_all")).filter("_labels > 1")
+    return info.select("key", F.col("_top.label").alias("_main"), (F.col("_all") - F.col("_top._n")).alias("_others"), F.col("_top._n").alias("_insiders"))
+
+
+def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, hot: DataFrame, threshold: float) -> DataFrame | None:
+    """Links (a, b) that join the different labels of a bucket; None if no two meet.
 
     Nodes outside the bucket's commonest label (others) are compared among themselves and with those inside it, which need no comparison among
-    themselves; both sides are dealt into blocks, and a pair of blocks is a task of bounded size.
+    themselves; both sides are dealt into blocks, and a pair of blocks is a task of bounded size. A pair is compared in the first band
+    that it shares, if its sizes allow the threshold at all.
     """
-    main = apart.groupBy("key").agg(F.mode("label", True).alias("_main"))
-    sided = apart.join(main, "key").withColumn("_inside", F.col("label") == F.col("_main")).drop("_main")
-    sizes = sided.groupBy("key").agg(F.count_if(~F.col("_inside")).alias("_others"), F.count_if("_inside").alias("_insiders"))
+    named = materialize(members.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    mixed = materialize(_mixed(named))
+    if not mixed.limit(1).count():
+        return None
+    apart = join_unique(named, mixed, "key", hot).withColumn("_inside", F.col("label") == F.col("_main"))
     blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
-    placed = sided.join(sizes.select("key", blocks("_others").alias("_bo"), blocks("_insiders").alias("_bi")), "key")
+    placed = apart.withColumns({"_bo": blocks("_others"), "_bi": blocks("_insiders")})
     own = F.pmod(F.xxhash64("node"), F.when(F.col("_inside"), F.col("_bi")).otherwise(F.col("_bo"))).cast("int")
     placed = placed.withColumn("_own", own)
 
@@ -328,60 +358,100 @@ def _rest(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     at_insiders = F.transform(F.sequence(F.lit(0), F.col("_bi") - 1), lambda j: place(True, F.col("_own"), j, F.lit(False)))
     insider = F.transform(others, lambda j: place(True, j, F.col("_own"), F.lit(True)))
     placed = placed.withColumn("_at", F.explode(F.when(F.col("_inside"), insider).otherwise(F.concat(at_others, at_insiders))))
-    placed = placed.select("key", "_at.*", "node", "label").join(sets.select("node", "elements"), "node")
+    placed = placed.select("key", "_at.*", "node", "label").join(sets.join(nodes.select("node", "n", "keys"), "node"), "node")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         second = pdf["second"].to_numpy()
-        alone = not pdf["inside"].iat[0] and pdf["lo"].iat[0] == pdf["hi"].iat[0]
+        alone = not key[1] and key[2] == key[3]
         left = np.flatnonzero(~second)
         right = left if alone else np.flatnonzero(second)
         if not len(left) or not len(right):
             return pd.DataFrame(columns=["a", "b"])
-        sets_of = lambda rows: [np.frombuffer(pdf["elements"].iat[k], np.uint32) for k in rows]
-        links = _joining(overlaps(sets_of(left), sets_of(right)) >= threshold - 1e-6, left, right, pdf["label"].factorize()[0])
+        label, n, keys = pdf["label"].factorize()[0], pdf["n"].to_numpy(), np.stack(pdf["keys"].to_numpy())
+        asked = label[left][:, None] != label[right][None]
+        asked &= np.minimum(n[left][:, None], n[right][None]) >= threshold * np.maximum(n[left][:, None], n[right][None])
+        for band in range(int(np.flatnonzero(keys[0] == key[0])[0])):
+            asked &= keys[left, band][:, None] != keys[right, band][None]
+        if alone:
+            asked = np.triu(asked)
+        sets_of = lambda rows, wanted: [unpacked(pdf["elements"].iat[k]) if w else np.zeros(0, _U) for k, w in zip(rows, wanted, strict=True)]
+        close = similar(sets_of(left, asked.any(axis=1)), sets_of(right, asked.any(axis=0)), asked, threshold)
         nodes = pdf["node"].to_numpy()
-        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in links], columns=["a", "b"])
+        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in _joining(close, left, right, label)], columns=["a", "b"])
 
     found = placed.groupBy("key", "inside", "lo", "hi").applyInPandas(run, "a binary, b binary")
-    return found.select(*_ordered("a", "b"))
+    return found.select(*_ordered("a", "b")).distinct()
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (key, class_id): the least key among the documents joined by links of the threshold or more, one row a document."""
-    docs = docs.select(key, text)
-    usable = docs.filter(F.col(key).isNotNull() & (F.length(text) > 0))
-    alone = docs.filter(F.col(key).isNull() | F.col(text).isNull() | (F.length(text) == 0)).select(key, F.col(key).alias("class_id"))
-    signed = materialize(sign(usable, key, text))
-    nodes = materialize(signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")))
+def _usable(key: str, text: str) -> Column:
+    return F.col(key).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0)
+
+
+def _labelled(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """Rows (key, tid, label) of the usable rows of docs (key, tid, text): rows of a class share a label."""
+    spark = docs.sparkSession
+    signed = materialize(sign(docs, key, text))
+    nodes = materialize(
+        signed.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(key).alias("_first"), F.count(F.lit(1)).alias("_copies"))
+    )
+    documents, with_words = nodes.agg(F.sum("_copies"), F.count_if(F.col("keys").isNotNull())).first()
+    limit = hot_limit(spark, with_words * BANDS)
     rows = nodes.select("node", "n", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min("node").alias("_centre")).filter("_size > 1")
-    members, _ = compact(rows.join(buckets, "key"))
+    buckets = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("_size"), F.min("node").alias("_centre")).filter("_size > 1"))
+    hot = buckets.filter(F.col("_size") > limit)
+    members, _ = compact(join_unique(rows, buckets, "key", hot))
 
-    wanted = members.select("node").distinct().join(signed, "node").groupBy("node").agg(F.min(key).alias(key)).select(key).distinct()
-    sets, _ = compact(gather_sets(usable.join(wanted, key), key, text), 5_000)
+    wanted = members.select("node").distinct().join(nodes.select("node", "_first"), "node").select(F.col("_first").alias(key)).distinct()
+    sets, _ = compact(gather_sets(docs.join(wanted, key), key, text), 5_000)
 
     side = lambda c: members.filter(F.col("_size") <= SMALL).select("key", F.col("node").alias(f"_{c}"), F.col("n").alias(f"_n{c}"))
     small = side("a").join(side("b"), "key").filter((F.col("_a") < F.col("_b")) & _close_in_size(threshold)).select(*_ordered("_a", "_b"))
     large = members.filter(F.col("_size") > SMALL)
-    star = large.filter(F.col("node") != F.col("_centre")).select(*_ordered("node", "_centre"))
+    # a hot bucket falls into parts of a bounded number of nodes, each with a centre
+    parted = large.filter(F.col("_size") > limit).withColumn("_part", F.pmod(F.xxhash64("node"), F.ceil(F.col("_size") / limit)))
+    centres = parted.groupBy("key", "_part").agg(F.min("node").alias("_of_part"), F.first("_centre").alias("_centre"))
+    star = (
+        large.filter(F.col("_size") <= limit).select("node", "_centre")
+        .union(parted.join(centres.drop("_centre"), ["key", "_part"]).select("node", "_of_part"))
+        .union(centres.select("_of_part", "_centre"))
+    )
+    star = star.filter(F.col("node") != F.col("_centre")).select(*_ordered("node", "_centre"))
     links, _ = compact(verify(small.union(star).distinct(), sets, threshold))
     labels = components(links)
-
-    large, parts = compact(large.select("key", "node"))
-    apart, _ = compact(_apart(large, labels, parts))
-    if apart.limit(1).count():
-        found, _ = compact(_rest(apart, sets, threshold).distinct())
+    found = _rest(large, labels, nodes, sets, hot, threshold)
+    if found is not None:
+        found, _ = compact(found)
         if found.limit(1).count():
             labels = components(links.union(found))
+    copied = nodes.filter(F.col("_copies") > hot_limit(spark, documents or 0))
+    named = join_unique(signed.select(key, "tid", "node"), labels, "node", copied, "left")
+    return materialize(named.select(key, "tid", F.coalesce("label", "node").alias("label")))
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (key, class_id): the least key among the documents joined by links of the threshold or more, one row a document."""
+    docs = docs.select(key, text)
+    alone = docs.filter(~_usable(key, text)).select(key, F.col(key).alias("class_id"))
+    named = _labelled(docs.filter(_usable(key, text)).select(key, _digest(text).alias("tid"), text), key, text, threshold)
+    first = materialize(named.groupBy("label").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("_n")))
+    hot = first.filter(F.col("_n") > hot_limit(docs.sparkSession, first.agg(F.sum("_n")).first()[0] or 0))
+    return join_unique(named, first.drop("_n"), "label", hot).select(key, "class_id").unionByName(alone)
 
-    named = signed.select(key, "node").join(labels, "node", "left").select(key, F.coalesce("label", "node").alias("_label"))
-    named = materialize(named)
-    first = named.groupBy("_label").agg(F.min(key).alias("class_id"))
-    return named.join(first, "_label").select(key, "class_id").unionByName(alone)
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary")))
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each class: the one with the least key, once. Rows without a key stay."""
-    kept = classes(docs, key, text).filter(F.col(key) == F.col("class_id")).select(key).distinct()
-    unnamed = docs.filter(F.col(key).isNull())
-    return docs.join(kept, key, "left_semi").dropDuplicates([key]).unionByName(unnamed)
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one document of each class: the one with the least key (of several texts under that key, the one with the least digest), once.
+
+    Of rows that repeat a key and a text, the one with the least hash of all columns stays. Rows without a key stay; rows without a text stay once a key.
+    """
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(*hashed).alias("_hash"), key, _digest(text).alias("tid"), text)
+    own = rows.filter(_usable(key, text))
+    least = _labelled(own.select(key, "tid", text), key, text, threshold).groupBy("label").agg(F.min(F.struct(key, "tid")).alias("_least"))
+    once = lambda df: df.groupBy(key, "tid").agg(F.min_by("_row", "_hash").alias("_row")).select("_row.*")
+    kept = once(own.join(least.select("_least.*"), [key, "tid"], "left_semi"))
+    without = rows.filter(F.col(key).isNotNull() & ~_usable(key, text))
+    return kept.unionByName(once(without)).unionByName(docs.filter(F.col(key).isNull()))
