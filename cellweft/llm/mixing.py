@@ -3,12 +3,16 @@
 Each document gets a rate r = min(cap, exp(lambda_source * size / scale_source)), the distribution closest in relative
 entropy to rate 1 whose words per source equal a target (and no rate above the cap). The dual is convex; its
 gradient and curvature are sums over the documents, taken in each Newton iteration by one distributed aggregate over
-the (source, size) histogram, as documents of one source and size share a rate. Rates are then rounded into whole
-copies: the cells of a source, from the largest size to the smallest, hand the words that rounding left over to the next, so
-that a source ends within about one small document of its target.
+the (source, size) histogram, as documents of one source and size share a rate.
+
+Rates are then rounded into whole copies. Along the sizes of a source, from the largest down, the copies taken so far are the sum of the
+rates so far, rounded: as the sizes descend, the words are off by half the largest document at most. What is missing is then made up
+once, by some sizes of every order of magnitude: each takes or gives as many copies as bring the source nearest to its target, and then
+pairs of them exchange a copy where that comes nearer. A source ends within half of the smallest of these sizes, mostly within a
+few words, unless their documents are at none or all of their copies.
 
 Null sources form a source of their own, last in order; null and empty texts have size 0, rate 1 and take no words;
-repeated rows count each; extra columns pass through; an empty table gives an empty result.
+repeated rows count each and take copies each; extra columns pass through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,15 +21,21 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cellweft.llm.common import dense_index, materialize
+from cellweft.llm.common import dense_index, hot_limit, join_unique, materialize
 
 #: Most copies of a document, and so the largest multiple of its size that a source may be asked for.
 CAP = 3
 NEWTON_STEPS = 40
 TOLERANCE = 1e-9
-#: Roundings tried for a source on either side of the plain one.
-STARTS = 16
+#: Digits of a multiplier that count, so that the order of sums does not matter.
+DIGITS = 10
+#: Sizes of every power of two that make up for what rounding left.
+MENDERS = 3
+EXCHANGES = 4
+#: Sources up to this number are broadcast.
+FEW_SOURCES = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = CAP) -> DataFrame:
@@ -76,13 +86,14 @@ def balance(cells: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         .select("source", "source_size", "target", "scale", "_lo", "_hi", "lam")
     )
     state = materialize(state)
+    few = F.broadcast if state.count() <= FEW_SOURCES else lambda df: df
+    own = cells.withColumnRenamed("source", "_source").filter(F.col("size") > 0)
     for _ in range(NEWTON_STEPS):
         r = _rate(F.col("lam"), F.col("size"), F.col("scale"), cap)
         x = F.col("size") / F.col("scale")
         mass = F.col("n") * F.col("size")
-        own = cells.withColumnRenamed("source", "_source").filter(F.col("size") > 0)
         sums = (
-            own.join(state, F.col("_source").eqNullSafe(F.col("source")))
+            own.join(few(state), F.col("_source").eqNullSafe(F.col("source")))
             .groupBy("source")
             .agg(
                 F.first("source_size").alias("source_size"),
@@ -111,42 +122,66 @@ def balance(cells: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         if not state.filter("_open").limit(1).count():
             break
         state = state.drop("_open")
-    return state.select("source", "target", "scale", "lam")
+    return state.select("source", "target", "scale", F.round("lam", DIGITS).alias("lam"))
 
 
 def round_cells(cells: DataFrame, rates: DataFrame, cap: int = CAP) -> DataFrame:
     """Whole copies for each (source, size) cell: rows (source, size, n, rate, copies).
 
-    The cells of one source are gathered to pass the remainder on: as many as it has different sizes, which the longest
-    text bounds, not the number of documents.
+    Sums run along the different sizes of a source, whose number the longest text bounds, not the number of documents; at most
+    MENDERS sizes a power of two are gathered for a source.
     """
     own = cells.withColumnRenamed("source", "_source")
-    joined = own.join(rates, F.col("_source").eqNullSafe(F.col("source")), "left")
+    joined = own.join(rates.select("source", "scale", "lam"), F.col("_source").eqNullSafe(F.col("source")), "left")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(F.col("lam"), F.col("size"), F.col("scale"), cap))
-    lists = joined.select(F.col("_source").alias("source"), "size", "n", F.coalesce(rate, F.lit(1.0)).alias("rate")).groupBy("source").agg(
-        F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cells")
-    )
+    rated = joined.select(F.col("_source").alias("source"), "size", "n", F.coalesce(rate, F.lit(1.0)).alias("rate"))
+    along = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = rated.withColumn("_sum", F.sum(F.col("n") * F.col("rate")).over(along))
+    before = F.lag(F.round("_sum")).over(Window.partitionBy("source").orderBy(F.desc("size")))
+    copies = F.greatest(F.lit(0.0), F.least(F.round("_sum") - F.coalesce(before, F.lit(0.0)), F.col("n") * float(cap)))
+    whole = materialize(whole.withColumn("copies", F.when(F.col("size") == 0, F.col("n").cast("double")).otherwise(copies).cast("long")).drop("_sum"))
+
+    missing = F.sum((F.col("n") * F.col("rate") - F.col("copies")) * F.col("size"))
+    left = whole.groupBy("source").agg(missing.alias("_left"))
+    # how far a size can go either way
+    room = F.least("copies", F.col("n") * cap - F.col("copies"))
+    power = Window.partitionBy("source", "_power").orderBy(F.desc("_room"), "size")
+    menders = whole.filter(F.col("size") > 0).withColumns({"_power": F.floor(F.log2("size")), "_room": room}).withColumn("_k", F.row_number().over(power))
+    lists = menders.filter(F.col("_k") <= MENDERS).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n", "copies")), asc=False).alias("_menders"))
+
+    def step(acc: Column, c: Column) -> Column:
+        asked = F.round(acc["left"] / c["size"]).cast("long")
+        more = F.greatest(-c["copies"], F.least(asked, c["n"] * cap - c["copies"]))
+        one = F.struct(c["size"].alias("size"), (c["copies"] + more).alias("down"), (c["n"] * cap - c["copies"] - more).alias("up"), more.alias("more"))
+        return F.struct((acc["left"] - more * c["size"]).alias("left"), F.array_append(acc["out"], one).alias("out"))
 
-    def copies(left: Column, c: Column) -> Column:
-        asked = c["n"] * c["size"] * c["rate"] + left
-        whole = F.greatest(F.lit(0.0), F.least(F.round(asked / F.greatest(c["size"], F.lit(1))), c["n"] * float(cap)))
-        return F.when(c["size"] == 0, c["n"].cast("double")).otherwise(whole).cast("long")
+    def exchange(acc: Column, _: Column) -> Column:
+        """One size gives a copy and one takes one, or either alone, if that brings the words nearer."""
+        side = lambda c: F.concat(F.array(F.lit(0).cast("long")), F.transform(F.filter(acc["out"], lambda x: x[c] > 0), lambda x: x["size"]))
+        pair = lambda give, take: F.struct(F.abs(acc["left"] - (take - give)).alias("off"), give.alias("give"), take.alias("take"))
+        best = F.array_min(F.flatten(F.transform(side("down"), lambda give: F.transform(side("up"), lambda take: pair(give, take)))))
 
-    def handed_on(left: Column, c: Column) -> Column:
-        return (c["n"] * c["size"] * c["rate"] + left - copies(left, c) * c["size"]).cast("double")
+        def done(b: Column) -> Column:
+            def moved(x: Column) -> Column:
+                by = F.when(x["size"] == b["take"], 1).otherwise(0) - F.when(x["size"] == b["give"], 1).otherwise(0)
+                return F.struct(x["size"].alias("size"), (x["down"] + by).alias("down"), (x["up"] - by).alias("up"), (x["more"] + by).alias("more"))
 
-    # the rounding of the largest documents decides what the small ones must make up for: several starts, the best one counts
-    largest = F.coalesce(F.col("cells")[0]["size"], F.lit(0)).cast("double")
-    starts = F.transform(F.sequence(F.lit(0), F.lit(2 * STARTS)), lambda k: F.floor((k - STARTS) * largest / STARTS).cast("double"))
-    ends = F.transform(starts, lambda o: F.struct(F.abs(F.aggregate("cells", o, handed_on) - o).alias("off"), F.abs(o).alias("by"), o.alias("start")))
-    lists = lists.withColumn("_start", F.array_min(ends)["start"])
+            return F.struct((acc["left"] - (b["take"] - b["give"])).alias("left"), F.transform(acc["out"], moved).alias("out"))
 
-    def step(acc: Column, c: Column) -> Column:
-        one = F.struct(c["size"].alias("size"), c["n"].alias("n"), c["rate"].alias("rate"), copies(acc["left"], c).alias("copies"))
-        return F.struct(handed_on(acc["left"], c).alias("left"), F.array_append(acc["out"], one).alias("out"))
+        return F.element_at(F.transform(F.array(best), done), 1)
+
+    start = F.struct(F.col("_left").alias("left"), F.array().cast("array<struct<size:bigint,down:bigint,up:bigint,more:bigint>>").alias("out"))
+    first = F.aggregate("_menders", start, step)
+    l2 = left.withColumnRenamed("source", "_ls")
+    mended = lists.join(l2, F.col("source").eqNullSafe(F.col("_ls"))).select("source", first.alias("_first"))
+    mended = mended.select("source", F.inline(F.aggregate(F.sequence(F.lit(1), F.lit(EXCHANGES)), F.col("_first"), exchange)["out"]))
+    mended = mended.filter("more <> 0").select(F.col("source").alias("_ms"), F.col("size").alias("_mz"), "more")
+    same = F.col("source").eqNullSafe(F.col("_ms")) & (F.col("size") == F.col("_mz"))
+    return whole.join(mended, same, "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("_ms", "_mz", "more")
 
-    start = F.struct(F.col("_start").alias("left"), F.array().cast("array<struct<size:bigint,n:bigint,rate:double,copies:bigint>>").alias("out"))
-    return lists.select("source", F.inline(F.aggregate("cells", start, step)["out"]))
+
+def _cell(source: str, size: str) -> Column:
+    return F.concat_ws("/", F.col(size).cast("string"), F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("")))
 
 
 def mix(docs: DataFrame, key: str, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = CAP) -> DataFrame:
@@ -155,30 +190,40 @@ def mix(docs: DataFrame, key: str, weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     Give narrow rows: they are sorted and written once. Inside a cell, the documents that get one copy more than
     the others are those first by a hash of the key.
     """
-    docs = materialize(docs.withColumn("_h", F.xxhash64(key)))
+    docs = docs.withColumns({"_h": F.xxhash64(key), "_cell": _cell("source", "size")})
     ordered = materialize(dense_index(docs, ["source", "size", "_h", key], "_idx"))
-    cells = materialize(ordered.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"), F.min("_idx").alias("_first")))
+    cells = materialize(ordered.groupBy("source", "size", "_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_idx").alias("_first")))
     targets = materialize(source_targets(cells.select("source", (F.col("size") * F.col("n")).alias("size")), weights, cap))
-    counts = cells.drop("_first")
-    rounded = round_cells(counts, balance(counts, targets, cap).drop("target"), cap)
+    counts = cells.select("source", "size", "n")
+    rounded = round_cells(counts, balance(counts, targets, cap), cap)
     t = targets.withColumnRenamed("source", "_t")
-    plan = rounded.join(t, F.col("source").eqNullSafe(F.col("_t"))).select(
-        F.col("source").alias("_ps"), F.col("size").alias("_pz"), "source_size", "target", "n", "rate", F.col("copies").alias("_total")
-    )
-    plan = plan.join(cells.drop("n"), F.col("_ps").eqNullSafe(F.col("source")) & (F.col("_pz") == F.col("size"))).drop("source", "size")
-    both = ordered.join(plan, F.col("source").eqNullSafe(F.col("_ps")) & (F.col("size") == F.col("_pz")))
+    plan = rounded.join(t, F.col("source").eqNullSafe(F.col("_t"))).select(_cell("source", "size").alias("_cell"), "source_size", "target", "rate", F.col("copies").alias("_total"))
+    plan = plan.join(cells.select("_cell", "n", "_first"), "_cell")
+    hot = cells.filter(F.col("n") > hot_limit(docs.sparkSession, cells.agg(F.sum("n")).first()[0] or 0))
+    both = join_unique(ordered, plan, "_cell", hot)
     more = (F.col("_idx") - F.col("_first")) < F.col("_total") % F.col("n")
     copies = (F.floor(F.col("_total") / F.col("n")) + F.when(more, 1).otherwise(0)).cast("long")
-    return both.withColumn("copies", copies).drop("_h", "_idx", "_first", "_ps", "_pz", "n", "_total")
-
-
-def repeat_copies(docs: DataFrame, key: str, text_words: Column, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = CAP) -> DataFrame:
-    """docs (with source and any other columns) as the mix takes them: each row as often as its copies, in the same columns."""
-    sized = docs.select(F.struct(*docs.columns).alias("_row"), key, "source", text_words.alias("_size"))
-    narrow = sized.select(key, "source", F.col("_size").alias("size"))
-    # equal (key, source, size) are repeated rows; they take the copies of the first
-    plan = mix(narrow, key, weights, cap).groupBy(key, "source", "size").agg(F.max("copies").alias("_copies"))
-    plan = plan.select(F.col(key).alias("_pk"), F.col("source").alias("_ps"), F.col("size").alias("_pz"), "_copies").filter("_copies > 0")
-    same = F.col(key).eqNullSafe(F.col("_pk")) & F.col("source").eqNullSafe(F.col("_ps")) & (F.col("_size") == F.col("_pz"))
-    taken = sized.join(plan, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return taken.select("_row.*")
+    return both.withColumn("copies", copies).drop("_h", "_idx", "_first", "_cell", "n", "_total")
+
+
+def repeat_copies(docs: DataFrame, key: str, text: str, text_words: Column, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: int = CAP) -> DataFrame:
+    """docs (with source and any other columns) as the mix takes them: each row as often as its copies, in the same columns.
+
+    Rows that agree in key, source and text share the copies the mix gives them as evenly as they can.
+    """
+    shown = F.concat_ws("/", *[F.coalesce(F.concat(F.lit("s"), F.col(c).cast("string")), F.lit("")) for c in (key, "source", text)])
+    sized = docs.select(F.struct(*docs.columns).alias("_row"), F.unhex(F.md5(shown.cast("binary"))).alias("_own"), key, "source", text_words.alias("size"))
+    taken = mix(sized.select("_own", key, "source", "size"), key, weights, cap)
+    plan = materialize(taken.groupBy("_own").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0"))
+    hot = plan.filter(F.col("_rows") > hot_limit(docs.sparkSession, plan.agg(F.sum("_rows")).first()[0] or 0))
+    rows = join_unique(sized.select("_row", "_own"), plan, "_own", hot).withColumn("_extra", F.col("_copies") % F.col("_rows"))
+    each = F.floor(F.col("_copies") / F.col("_rows"))
+    if plan.filter("_copies % _rows > 0").limit(1).count():
+        # among repeated rows, so many take one copy more
+        uneven = dense_index(rows.filter("_extra > 0").withColumn("_at", F.monotonically_increasing_id()), ["_own", "_at"], "_idx")
+        first = uneven.groupBy("_own").agg(F.min("_idx").alias("_first"))
+        uneven = join_unique(uneven, first, "_own", hot).withColumn("_more", (F.col("_idx") - F.col("_first") < F.col("_extra")).cast("long"))
+        rows = rows.filter("_extra = 0").select("_row", each.alias("_each")).unionByName(uneven.select("_row", (each + F.col("_more")).alias("_each")))
+    else:
+        rows = rows.select("_row", each.alias("_each"))
+    return rows.filter("_each > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_each").cast("long")))).select("_row.*")
