@@ -24,8 +24,11 @@ def _apart(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a letter and those in no learned language."""
-    named = langid.predict(_apart(docs, "text"), langid.fit(docs))
+    """Reject documents without a letter and those in no learned language. Where no document has a language, none can be told and all pass."""
+    net = langid.fit(docs)
+    if net is None:
+        return docs
+    named = langid.predict(_apart(docs, "text"), net)
     known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
     return named.filter(known).select("_row.*")
 
@@ -45,7 +48,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights: each document as often as the mix takes it."""
-    return mixing.repeat_copies(docs, "doc_id", word_count(F.col("text")))
+    return mixing.repeat_copies(docs, "doc_id", "text", word_count(F.col("text")))
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,13 +69,20 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL: str | None = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared checkpoint folder and read again."""
+    """The stages over documents, each written to the shared checkpoint folder and read again; what a stage has read is then deleted."""
     require_checkpoint_dir(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         at = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        if before:
+            _delete(spark, before)
+        docs, before = spark.read.parquet(at), at
     return docs
