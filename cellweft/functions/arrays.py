@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once for a row; inside a lambda, an expression is else computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
@@ -32,14 +39,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def scaled(a: Column, factor: Column) -> Column:
+    return let(factor, lambda k: F.transform(a, lambda x: x * k))
+
+
 def centred(a: Column) -> Column:
-    return F.transform(a, lambda x: x - mean(a))
+    return let(mean(a), lambda m: F.transform(a, lambda x: x - m))
 
 
 def pearson(a: Column, b: Column, offset: float = 0.0) -> Column:
     """Correlation of two rows; offset is added to the denominator."""
-    x, y = centred(a), centred(b)
-    return dot(x, y) / (F.sqrt(dot(x, x) * dot(y, y)) + F.lit(float(offset)))
+    both = lambda x, y: dot(x, y) / (F.sqrt(dot(x, x) * dot(y, y)) + F.lit(float(offset)))
+    return let(centred(a), lambda x: let(centred(b), lambda y: both(x, y)))
 
 
 def pearson_skipping(a: Column, b: Column) -> Column:
@@ -52,7 +63,7 @@ def ordinal_ranks(a: Column) -> Column:
     """0-based ranks, ties by position."""
     pairs = F.transform(a, lambda x, i: F.struct(x.alias("v"), i.alias("i")))
     order = F.transform(F.array_sort(pairs), lambda p: p["i"])
-    return F.transform(a, lambda _, i: F.array_position(order, i).cast("int") - 1)
+    return let(order, lambda o: F.transform(a, lambda _, i: F.array_position(o, i).cast("int") - 1))
 
 
 def spearman(a: Column, b: Column) -> Column:
@@ -61,9 +72,9 @@ def spearman(a: Column, b: Column) -> Column:
 
 def median(a: Column) -> Column:
     """Interpolating median of a row."""
-    s, n = F.array_sort(a), F.size(a)
-    at = lambda k: F.element_at(s, k.cast("int"))
-    return (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2
+    n = F.size(a)
+    at = lambda s, k: F.element_at(s, k.cast("int"))
+    return let(F.array_sort(a), lambda s: (at(s, F.floor((n + 1) / 2)) + at(s, F.floor(n / 2) + 1)) / 2)
 
 
 def argmax(a: Column) -> Column:
@@ -90,19 +101,28 @@ def ring_mean(values: Column, weights: list[float]) -> Column:
     return total(F.transform(ok, lambda p: p["v"] * p["w"])) / total(F.transform(ok, lambda p: p["w"]))
 
 
+def constant(value: object, kind: str) -> Column:
+    """A nested constant, through one literal; the optimiser parses it once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def literal(values: list[float]) -> Column:
     """Constant array; NaN and None become null."""
-    return F.array(*[F.lit(None if v is None or (isinstance(v, float) and math.isnan(v)) else float(v)).cast("double") for v in values])
-
-
-def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
-    """Piecewise linear map through (xs, ys), ascending, continued beyond both ends; equal neighbouring xs are stepped over."""
-    pts = [(a, b) for i, (a, b) in enumerate(zip(xs, ys, strict=True)) if i == 0 or a > xs[i - 1]]
-    if len(pts) == 1:
-        return x - pts[0][0] + pts[0][1]
-    segments = list(zip(pts, pts[1:], strict=False))
-    x0, y0 = (literal([p[k] for p, _ in segments]) for k in (0, 1))
-    slope = literal([(q[1] - p[1]) / (q[0] - p[0]) for p, q in segments])
-    # the segment is found by counting the inner points below x
-    at = F.size(F.filter(literal([p[0] for p in pts[1:-1]]) if len(pts) > 2 else F.array().cast("array<double>"), lambda t: t < x)) + 1
-    return F.element_at(y0, at) + (x - F.element_at(x0, at)) * F.element_at(slope, at)
+    return constant([None if v is None or math.isnan(v) else float(v) for v in values], "array<double>")
+
+
+def piecewise(xs: list[list[float]], ys: list[list[float]]) -> Column:
+    """Piecewise linear maps through (xs, ys), ascending, one a feature, as a constant; equal neighbouring xs are stepped over."""
+    out = []
+    for x, y in zip(xs, ys, strict=True):
+        pts = [(a, b) for i, (a, b) in enumerate(zip(x, y, strict=True)) if i == 0 or a > x[i - 1]]
+        pts = pts if len(pts) > 1 else [pts[0], (pts[0][0] + 1, pts[0][1] + 1)]
+        each = list(zip(pts, pts[1:], strict=False))
+        out.append({"inner": [p[0] for p in pts[1:-1]], "x": [p[0] for p, _ in each], "y": [p[1] for p, _ in each], "k": [(q[1] - p[1]) / (q[0] - p[0]) for p, q in each]})
+    return constant(out, "array<struct<inner:array<double>,x:array<double>,y:array<double>,k:array<double>>>")
+
+
+def mapped(x: Column, table: Column) -> Column:
+    """x through one map of piecewise, continued beyond both ends."""
+    at = F.size(F.filter(table["inner"], lambda t: t < x)) + 1
+    return let(at, lambda k: F.element_at(table["y"], k) + (x - F.element_at(table["x"], k)) * F.element_at(table["k"], k))

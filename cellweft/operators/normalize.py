@@ -1,13 +1,16 @@
 """Normalisation of cells x features, a feature array per row.
 
-Statistics are single-pass aggregates (one aggregate per feature, no explode); their result is one row per group and returns as a
-join on the group, or as constants for the whole table. Medians are exact; pass exact=False for the sketch-based percentile, whose state is
+Statistics are aggregates of the long form (a row a feature, combined before the shuffle, so that as many rows as features and groups
+remain); their result returns as a join on the group, or as constants for the whole table. Plans do not grow with the features. Medians are exact; pass exact=False for the sketch-based percentile, whose state is
 bounded, on very large tables.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +21,23 @@ def _percentile(c: Column, p: float, exact: bool = True) -> Column:
     return F.percentile(c, p) if exact else F.percentile_approx(c, p, 10000)
 
 
-def feature_aggregates(df: DataFrame, bits: str, n: int, **aggs) -> dict[str, list[float]]:  # noqa: ANN003
-    """Each named aggregate (a function of a column) of each of the n features: n constants a name."""
-    cols = [f(F.col(bits)[i]).alias(f"{name}_{i}") for name, f in aggs.items() for i in range(n)]
-    row = df.agg(*cols).first()
-    return {name: [row[f"{name}_{i}"] for i in range(n)] for name in aggs}
+def long_form(df: DataFrame, bits: str, n: int, *keep: str) -> DataFrame:
+    """One row a feature: the kept columns, bit and v."""
+    return df.select(*keep, F.posexplode(F.slice(bits, 1, n)).alias("bit", "v"))
+
+
+def feature_aggregates(df: DataFrame, bits: str, n: int, *keep: str, **aggs) -> dict[str, list]:  # noqa: ANN003
+    """Each named aggregate (a function of the value's column; it may use bit and the kept columns) of each of the n features: n constants a name."""
+    got = long_form(df, bits, n, *keep).groupBy("bit").agg(*[f(F.col("v")).alias(f"a_{name}") for name, f in aggs.items()]).collect()
+    rows = {r["bit"]: r for r in got}
+    return {name: [rows[i][f"a_{name}"] if i in rows else None for i in range(n)] for name in aggs}
 
 
-def grouped_feature_aggregates(df: DataFrame, by: str, bits: str, n: int, **aggs) -> DataFrame:  # noqa: ANN003
-    """Rows (by, one array per aggregate)."""
-    return df.groupBy(by).agg(*[F.array(*[f(F.col(bits)[i]) for i in range(n)]).alias(name) for name, f in aggs.items()])
+def grouped_feature_aggregates(df: DataFrame, by: str, bits: str, n: int, *keep: str, **aggs) -> DataFrame:  # noqa: ANN003
+    """Rows (by, one array per aggregate, n long)."""
+    each = long_form(df, bits, n, by, *keep).groupBy(by, "bit").agg(*[f(F.col("v")).alias(name) for name, f in aggs.items()])
+    rows = each.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("bit", *aggs))).alias("_rows"))
+    return rows.select(by, *[F.col("_rows")[name].alias(name) for name in aggs])
 
 
 def _each(bits: str, f, *consts: list[float]) -> Column:  # noqa: ANN001
@@ -78,7 +88,7 @@ def library_size(df: DataFrame, bits: str, scale: float | None = None) -> DataFr
     """Rows divided by their sum, times the median sum or a given scale."""
     size = A.total(F.col(bits))
     k = df.agg(F.median(size)).first()[0] if scale is None else scale
-    return df.withColumn(bits, F.transform(bits, lambda x: x / size * F.lit(float(k or 0))))
+    return df.withColumn(bits, A.let(size, lambda t: F.transform(bits, lambda x: x / t * F.lit(float(k or 0)))))
 
 
 def cell_shares(df: DataFrame, bits: str, to_mean: bool = False, log: bool = False) -> DataFrame:
@@ -86,13 +96,13 @@ def cell_shares(df: DataFrame, bits: str, to_mean: bool = False, log: bool = Fal
     pos = F.transform(bits, lambda x: F.log10(F.greatest(x, F.lit(0.0)) + 1) if log else F.greatest(x, F.lit(0.0)))
     size = F.greatest(A.total(pos), F.lit(1e-10))
     k = df.agg(F.avg(size)).first()[0] if to_mean else 1.0
-    return df.withColumn(bits, F.transform(pos, lambda x: x / size * F.lit(float(k or 0))))
+    return df.withColumn(bits, A.let(size, lambda t: F.transform(pos, lambda x: x / t * F.lit(float(k or 0)))))
 
 
 def log_row_median(df: DataFrame, bits: str) -> DataFrame:
     """log10(x + 1) less its row median."""
     logs = F.transform(bits, lambda x: F.log10(x + 1))
-    return df.withColumn(bits, F.transform(logs, lambda x: x - A.median(logs)))
+    return df.withColumn(bits, A.let(logs, lambda v: A.let(A.median(v), lambda m: F.transform(v, lambda x: x - m))))
 
 
 _COVARIATES = {
@@ -116,36 +126,52 @@ def regress(df: DataFrame, bits: str, n: int, value: str = "sum", log: bool = Tr
         return d.withColumn("_x", x).withColumn("_c", F.log10(cov) if log and value != "none" else cov)
 
     rows, base = prepared(df), prepared(df if fit is None else fit)
-    row = base.agg(
-        *[F.regr_slope(F.col("_x")[i], F.col("_c")).alias(f"k{i}") for i in range(n)], *[F.avg(F.col("_x")[i]).alias(f"m{i}") for i in range(n)], F.avg("_c").alias("c")
-    ).first()
-    slope, avg = [row[f"k{i}"] or 0.0 for i in range(n)], [row[f"m{i}"] for i in range(n)]
-    c = row["c"]
-    predicted = lambda k, m: m + k * (F.col("_c") - F.lit(c))
+    got = feature_aggregates(base, "_x", n, "_c", k=lambda v: F.regr_slope(v, F.col("_c")), m=F.avg)
+    slope, avg = [k or 0.0 for k in got["k"]], got["m"]
+    c = base.agg(F.avg("_c")).first()[0]
+    predicted = lambda k, m, own: m + k * (own - F.lit(c))
     # the mean prediction of a least-squares fit is the mean
     if log:
-        out = _each("_x", lambda x, k, m: x - predicted(k, m) + (m if to_mean else 0.0), slope, avg)
+        out = A.let(F.col("_c"), lambda own: _each("_x", lambda x, k, m: x - predicted(k, m, own) + (m if to_mean else 0.0), slope, avg))
         out = out if leave_log else F.transform(out, lambda x: F.pow(F.lit(10.0), x))
     else:
-        out = _each("_x", lambda x, k, m: x / predicted(k, m) * m, slope, avg)
+        out = A.let(F.col("_c"), lambda own: _each("_x", lambda x, k, m: x / predicted(k, m, own) * m, slope, avg))
     return rows.withColumn(bits, out).drop("_x", "_c")
 
 
+#: Sums of partitions that are added up in one task.
+FAN = 32
+
+
 def moments(df: DataFrame, bits: str, n: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and covariance (population) of the features, by one aggregate of n (n + 3) / 2 sums."""
-    pairs = [(i, j) for i in range(n) for j in range(i, n)]
-    b = F.col(bits)
-    row = df.agg(F.count(F.lit(1)).alias("c"), *[F.avg(b[i]).alias(f"m{i}") for i in range(n)], *[F.covar_pop(b[i], b[j]).alias(f"v{i}_{j}") for i, j in pairs]).first()
-    cov = np.zeros((n, n))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"v{i}_{j}"] or 0.0
-    return row["c"], np.array([row[f"m{i}"] or 0.0 for i in range(n)]), cov
+    """Count, mean and covariance (population) of the features over rows without a null.
+
+    The means are one aggregate; the sums of products about them are matrix products of Arrow batches, one matrix a partition, added up in FAN tasks.
+    """
+    whole = df.select(F.transform(F.slice(bits, 1, n), lambda x: x.cast("double")).alias("x")).filter(F.forall("x", lambda x: x.isNotNull()))
+    count = whole.count()
+    mean = np.array([m or 0.0 for m in feature_aggregates(whole, "x", n, m=F.avg)["m"]])
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n, n))
+        for batch in batches:
+            x = np.array(batch["x"].tolist(), np.float64).reshape(-1, n) - mean
+            total += x.T @ x
+        yield pd.DataFrame({"s": [total.ravel()]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s": [np.stack(pdf.sort_values("_at")["s"].to_numpy()).sum(axis=0)]})
+
+    parts = whole.mapInPandas(part, "s array<double>").withColumn("_at", F.spark_partition_id())
+    sums = parts.groupBy((F.col("_at") % FAN).alias("_fan")).applyInPandas(add, "s array<double>").collect()
+    cov = sum((np.array(r["s"]) for r in sorted(sums, key=lambda r: r["s"])), np.zeros(n * n)).reshape(n, n)
+    return count, mean, cov / max(count, 1)
 
 
 def affine(bits: str, weights: np.ndarray, offset: np.ndarray) -> Column:
-    """bits times weights (rows: inputs) plus offset, as expressions."""
-    table = [A.literal(w.tolist()) for w in weights.T]
-    return F.array(*[A.dot(F.col(bits), t) + F.lit(float(o)) for t, o in zip(table, offset, strict=True)])
+    """bits times weights (rows: inputs) plus offset, as one expression over a constant matrix."""
+    table = F.array(*[F.struct(A.literal(w.tolist()).alias("w"), F.lit(float(o)).alias("o")) for w, o in zip(weights.T, offset, strict=True)])
+    return F.transform(table, lambda t: A.dot(F.col(bits), t["w"]) + t["o"])
 
 
 def cross_prediction(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,19 +214,23 @@ def robust_regression(df: DataFrame, bits: str, n: int, rounds: int = 3) -> Data
     rows = df.withColumn("_p", affine(bits, w, off))
     r = np.eye(n) - w
     limit = np.sqrt(np.maximum(np.einsum("ji,jk,ki->i", r, cov, r), 0)).tolist()
+    rows = rows.withColumn("_both", F.arrays_zip(F.col(bits).alias("x"), F.col("_p").alias("p")))
     slope, inter = [1.0] * n, [0.0] * n
-    inside = lambda i: F.abs(F.col(bits)[i] - (F.col("_p")[i] * slope[i] + inter[i])) <= limit[i]
+
+    def line(p: Column, i: Column) -> Column:
+        return p * F.element_at(A.literal(slope), i + 1) + F.element_at(A.literal(inter), i + 1)
+
+    def inside(v: Column, i: Column) -> Column:
+        return F.abs(v["x"] - line(v["p"], i)) <= F.element_at(A.literal(limit), i + 1)
+
     for _ in range(rounds):
-        got = rows.agg(
-            *[F.regr_slope(F.when(inside(i), F.col(bits)[i]), F.col("_p")[i]).alias(f"k{i}") for i in range(n)],
-            *[F.regr_intercept(F.when(inside(i), F.col(bits)[i]), F.col("_p")[i]).alias(f"c{i}") for i in range(n)],
-        ).first()
-        slope = [got[f"k{i}"] if got[f"k{i}"] is not None else 1.0 for i in range(n)]
-        inter = [got[f"c{i}"] if got[f"c{i}"] is not None else 0.0 for i in range(n)]
-    robust = F.array(*[F.when(inside(i), F.col(bits)[i]).otherwise(F.col("_p")[i] * slope[i] + inter[i]) for i in range(n)])
+        ok = lambda v: F.when(inside(v, F.col("bit")), v["x"])
+        got = feature_aggregates(rows, "_both", n, k=lambda v: F.regr_slope(ok(v), v["p"]), c=lambda v: F.regr_intercept(ok(v), v["p"]))
+        slope, inter = [1.0 if k is None else k for k in got["k"]], [0.0 if c is None else c for c in got["c"]]
+    robust = F.transform("_both", lambda v, i: F.when(inside(v, i), v["x"]).otherwise(line(v["p"], i)))
     rows = rows.withColumn("_m", A.mean(robust))
     grand = rows.agg(F.avg("_m")).first()[0]
-    return rows.withColumn(bits, F.transform(bits, lambda x: x / F.col("_m") * F.lit(grand))).drop("_p", "_m")
+    return rows.withColumn(bits, A.let(F.col("_m"), lambda m: F.transform(bits, lambda x: x / m * F.lit(grand)))).drop("_p", "_m", "_both")
 
 
 def quantile_matching(df: DataFrame, reference: DataFrame, bits: str, n: int, points: int = 100) -> DataFrame:
@@ -211,7 +241,8 @@ def quantile_matching(df: DataFrame, reference: DataFrame, bits: str, n: int, po
     at = [k / (points - 1) for k in range(points)]
     q = {"q": lambda c: F.percentile(c, at)}
     own, ref = feature_aggregates(filled, bits, n, **q)["q"], feature_aggregates(reference, bits, n, **q)["q"]
-    return filled.withColumn(bits, F.array(*[A.interpolate(F.col(bits)[i], list(own[i]), list(ref[i])) for i in range(n)]))
+    table = A.piecewise([list(q) for q in own], [list(q) for q in ref])
+    return filled.withColumn(bits, F.transform(bits, lambda x, i: A.let(F.element_at(table, i + 1), lambda t: A.mapped(x, t))))
 
 
 def zscore_matching(df: DataFrame, reference: DataFrame, bits: str, n: int, least: int = 25) -> DataFrame:
@@ -220,22 +251,15 @@ def zscore_matching(df: DataFrame, reference: DataFrame, bits: str, n: int, leas
     own, ref = feature_aggregates(df, bits, n, **q), feature_aggregates(reference, bits, n, **q)
 
     def inside(d: DataFrame, s: dict) -> dict:
-        b = F.col(bits)
-        ok = lambda i: (b[i] > s["lo"][i]) & (b[i] < s["hi"][i])
-        row = d.agg(
-            *[F.count_if(ok(i)).alias(f"c{i}") for i in range(n)], *[F.median(F.when(ok(i), b[i])).alias(f"m{i}") for i in range(n)], *[F.stddev_pop(F.when(ok(i), b[i])).alias(f"d{i}") for i in range(n)]
-        ).first()
-        return {k: [row[f"{k}{i}"] for i in range(n)] for k in "cmd"}
+        at = lambda name: F.element_at(A.literal(s[name]), F.col("bit") + 1)
+        kept = lambda v: F.when((v > at("lo")) & (v < at("hi")), v)
+        return feature_aggregates(d, bits, n, c=lambda v: F.count(kept(v)), m=lambda v: F.median(kept(v)), d=lambda v: F.stddev_pop(kept(v)))
 
     a, b = inside(df, own), inside(reference, ref)
-    out = []
-    for i in range(n):
-        x = F.col(bits)[i]
-        if a["c"][i] > least and b["c"][i] > least:
-            out.append((x - own["med"][i]) / F.nullif(F.lit(own["sd"][i]), F.lit(0.0)) * b["d"][i] + b["m"][i])
-        else:
-            out.append(x - own["med"][i] + ref["med"][i])
-    return df.withColumn(bits, F.array(*out))
+    enough = [x > least and y > least for x, y in zip(a["c"], b["c"], strict=True)]
+    pick = lambda yes, no: [y if ok else x for ok, y, x in zip(enough, yes, no, strict=True)]
+    shift = lambda x, m, d, k, c: (x - m) / F.nullif(d, F.lit(0.0)) * k + c
+    return df.withColumn(bits, _each(bits, shift, own["med"], pick(own["sd"], [1.0] * n), pick(b["d"], [1.0] * n), pick(b["m"], ref["med"])))
 
 
 def batch_scaling(df: DataFrame, by: str, bits: str, n: int) -> DataFrame:
@@ -252,16 +276,17 @@ def remove_linear_pattern(df: DataFrame, bits: str, n: int, by: str | None = Non
     keyed = df.withColumn("_g", F.col(by) if by else F.lit(0))
     bounds = grouped_feature_aggregates(keyed, "_g", bits, n, _lo=lambda c: F.percentile(c, 0.01), _hi=lambda c: F.percentile(c, 0.99))
     rows = keyed.join(bounds, "_g")
-    sums = []
-    for i in range(n):
-        v = F.col(bits)[i]
-        ok = (v >= F.col("_lo")[i]) & (v <= F.col("_hi")[i])
+    bound = lambda name: F.element_at(F.col(name), F.col("bit") + 1)
+
+    def sums(v: Column) -> Column:
+        ok = (v >= bound("_lo")) & (v <= bound("_hi"))
         px, py, pv = (F.when(ok, c) for c in (F.col(x), F.col(y), v))
-        sums.append(F.struct(
+        return F.struct(
             F.avg(px).alias("mx"), F.avg(py).alias("my"), F.avg(pv).alias("mv"), F.covar_pop(px, px).alias("xx"), F.covar_pop(py, py).alias("yy"),
             F.covar_pop(px, py).alias("xy"), F.covar_pop(px, pv).alias("xv"), F.covar_pop(py, pv).alias("yv"),
-        ))
-    fit = rows.groupBy("_g").agg(F.array(*sums).alias("_f"))
+        )
+
+    fit = grouped_feature_aggregates(rows, "_g", bits, n, "_lo", "_hi", x, y, _f=sums)
 
     def corrected(v: Column, i: Column) -> Column:
         f = F.element_at(F.col("_f"), i + 1)
@@ -282,15 +307,14 @@ def rank_features(df: DataFrame, bits: str) -> DataFrame:
 
 def anova(df: DataFrame, by: str, bits: str, n: int) -> list[tuple[float, float]]:
     """(F statistic, eta squared) of each feature over the groups, from group sums."""
-    g = df.groupBy(by).agg(F.count(F.lit(1)).alias("c"), *[F.sum(F.col(bits)[i]).alias(f"s{i}") for i in range(n)], *[F.sum(F.col(bits)[i] * F.col(bits)[i]).alias(f"q{i}") for i in range(n)])
-    row = g.agg(
-        F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), *[F.sum(F.col(f"s{i}") * F.col(f"s{i}") / F.col("c")).alias(f"b{i}") for i in range(n)],
-        *[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)], *[F.sum(f"q{i}").alias(f"q{i}") for i in range(n)],
-    ).first()
+    g = long_form(df, bits, n, by).groupBy(by, "bit").agg(F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    got = g.groupBy("bit").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("c"), F.sum(F.col("s") * F.col("s") / F.col("c")).alias("b"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    rows = {r["bit"]: r for r in got.collect()}
     out = []
     for i in range(n):
-        grand = row[f"s{i}"] ** 2 / row["c"]
-        between, within, whole = row[f"b{i}"] - grand, row[f"q{i}"] - row[f"b{i}"], row[f"q{i}"] - grand
+        row = rows[i]
+        grand = row["s"] ** 2 / row["c"]
+        between, within, whole = row["b"] - grand, row["q"] - row["b"], row["q"] - grand
         out.append(((between / max(row["k"] - 1, 1)) / (within / max(row["c"] - row["k"], 1)) if within else float("inf"), between / (whole + 1e-6)))
     return out
 
@@ -300,9 +324,8 @@ def scale_for_classifier(df: DataFrame, reference: DataFrame, bits: str, n: int,
     if how == "none":
         return df
     if how == "per_cell":
-        x = F.col(bits)
-        sd = F.sqrt(A.dot(A.centred(x), A.centred(x)) / n)
-        return df.withColumn(bits, F.transform(A.centred(x), lambda v: v / F.nullif(sd, F.lit(0.0))))
+        spread = lambda c: F.nullif(A.norm(c) / F.sqrt(F.lit(float(n))), F.lit(0.0))
+        return df.withColumn(bits, A.let(A.centred(F.col(bits)), lambda c: A.let(spread(c), lambda sd: F.transform(c, lambda v: v / sd))))
     if how not in ("per_bit_equalscale", "per_bit_refscale", "per_bit_fscale"):
         raise ValueError(f"unknown normalisation {how}")
     own, ref = (feature_aggregates(d, bits, n, m=F.avg, d=F.stddev_pop) for d in (df, reference))
@@ -324,7 +347,7 @@ def positive_robust_scale(df: DataFrame, bits: str, n: int, cell: str = "polyA",
         x = F.transform(x, lambda v: v / F.col(library))
     elif cell in ("L1", "L2"):
         size = A.total(F.transform(x, F.abs)) if cell == "L1" else A.norm(x)
-        x = F.transform(x, lambda v: v / F.nullif(size, F.lit(0.0)))
+        x = A.let(F.nullif(size, F.lit(0.0)), lambda t: F.transform(F.col(bits), lambda v: v / t))
     elif cell != "none":
         raise NotImplementedError(cell)
     rows = df.withColumn(bits, x)
@@ -335,8 +358,8 @@ def positive_robust_scale(df: DataFrame, bits: str, n: int, cell: str = "polyA",
     if bit == "robustZ-iqr":
         mid, wide = s["med"], [h - lo for h, lo in zip(s["hi"], s["lo"], strict=True)]
     elif bit == "robustZ-mad":
-        mad = rows.agg(*[F.median(F.abs(pos(F.col(bits)[i]) - s["med"][i])).alias(str(i)) for i in range(n)]).first()
-        mid, wide = s["med"], [mad[str(i)] for i in range(n)]
+        off = lambda v: F.median(F.abs(pos(v) - F.element_at(A.literal(s["med"]), F.col("bit") + 1)))
+        mid, wide = s["med"], feature_aggregates(rows, bits, n, mad=off)["mad"]
     elif bit == "z-score":
         mid, wide = s["avg"], s["sd"]
     else:
@@ -350,7 +373,7 @@ def harmonise(df: DataFrame, reference: DataFrame, bits: str, n: int) -> DataFra
     own = feature_aggregates(df, bits, n, med=F.median)
     step = df.withColumn(bits, _each(bits, lambda x, a, b: x * b / F.nullif(a, F.lit(0.0)), own["med"], ref["med"]))
     total = reference.agg(F.avg(A.total(F.col(bits)))).first()[0]
-    step = step.withColumn(bits, F.transform(bits, lambda x: x * F.lit(total) / F.nullif(A.total(F.col(bits)), F.lit(0.0))))
+    step = step.withColumn(bits, A.let(F.nullif(A.total(F.col(bits)), F.lit(0.0)), lambda t: F.transform(bits, lambda x: x * F.lit(total) / t)))
     now = feature_aggregates(step, bits, n, med=F.median, sd=F.stddev_pop)
     return step.withColumn(bits, _each(bits, lambda x, m, d, rm, rd: ((x - m) / F.nullif(d, F.lit(0.0)) + rm) * rd, now["med"], now["sd"], ref["med"], ref["sd"]))
 
@@ -361,9 +384,9 @@ def harmonise_by_group(df: DataFrame, reference: DataFrame, bits: str, n: int, l
     Quantile tables of both sides are aggregates; rows are mapped by expressions, so that no group has to fit into a task.
     """
     at = [k / (points - 1) for k in range(points)]
-    q = lambda name: [F.array(*[F.percentile(F.col(bits)[i], at) for i in range(n)]).alias(name)]
-    own = df.groupBy(label, section).agg(*q("_own"))
-    ref = reference.groupBy(label).agg(*q("_ref"))
+    q = lambda v: F.percentile(v, at)
+    own = grouped_feature_aggregates(df.withColumn("_ls", F.struct(label, section)), "_ls", bits, n, _own=q).select("_ls.*", "_own")
+    ref = grouped_feature_aggregates(reference, label, bits, n, _ref=q)
     rows = df.join(own, [label, section]).join(ref, label, "left")
 
     def mapped(x: Column, i: Column) -> Column:
