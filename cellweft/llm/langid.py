@@ -9,7 +9,8 @@ As a convolution of embedded bytes is linear before the maximum, the filters are
 prediction: the same responses, by lookup.
 
 Texts that are null or hold no letter are "und" with score 0, as is everything if no labelled text was given. Training takes at most
-`max_docs` texts of `windows_per_doc` windows each, chosen by hash; prediction reads whole texts. Other columns pass through; repeated rows each get
+`MAX_DOCS` labelled texts with different keys, chosen by hash, and cuts them whole: of all their windows, `MAX_WINDOWS` are drawn by hash, wherever they
+lie. Of rows that share a key, one is learned from. Prediction reads whole texts. Other columns pass through; repeated rows each get
 their prediction.
 """
 
@@ -23,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweft.llm.common import materialize
+
 UNDETERMINED = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -32,9 +35,9 @@ WIDEST = max(WIDTHS)
 STRIDE = WINDOW - WIDEST + 1
 #: Bounds of the training sample.
 MAX_DOCS = 2000
-WINDOWS_PER_DOC = 4
+MAX_WINDOWS = 16_000
 #: Passes over the sample, and steps at least.
-EPOCHS = 6
+EPOCHS = 4
 BATCH = 128
 LEAST_STEPS = 400
 #: Windows evaluated at a time.
@@ -77,6 +80,17 @@ def probabilities(net: Network, windows: np.ndarray, tables: tuple[np.ndarray, n
     return out
 
 
+def convolve(net: Network, windows: np.ndarray) -> np.ndarray:
+    """The same responses without tables: embedded bytes through every tap of every filter, summed along the taps."""
+    taps = np.concatenate([w[j] for w in net.filters for j in range(len(w))], axis=1)
+    each = (net.embedding @ taps)[windows].reshape(*windows.shape, -1, FILTERS)
+    n, out, at = windows.shape[1] - WIDEST + 1, [], 0
+    for w in net.filters:
+        out.append(sum(each[:, j : j + n, at + j] for j in range(len(w))))
+        at += len(w)
+    return np.concatenate(out, axis=2)
+
+
 def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = 7, epochs: int = EPOCHS, rate: float = 4e-3) -> Network:
     """Adam on the cross-entropy; the maximum passes its gradient to the position that won."""
     rng = np.random.default_rng(seed)
@@ -96,7 +110,7 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], seed: i
         order = rng.permutation(len(windows))
         for a in range(0, len(order), BATCH):
             x, y = windows[order[a : a + BATCH]], labels[order[a : a + BATCH]]
-            r = responses(x, *net.tables())
+            r = convolve(net, x)
             at = r.argmax(axis=1)  # windows x filters
             pre = np.take_along_axis(r, at[:, None, :], axis=1)[:, 0] + net.bias
             pooled = np.maximum(pre, 0)
@@ -140,27 +154,33 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[starts], owner, fresh
 
 
-def sample_windows(docs: DataFrame, key: str, text: str, label: str, max_docs: int = MAX_DOCS, windows: int = WINDOWS_PER_DOC) -> pd.DataFrame:
-    """Up to max_docs labelled texts, each with pieces from places chosen by hash: columns label, piece. Bounded by both limits."""
-    chosen = docs.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(key, F.xxhash64(F.lit("langid"), key).alias("_h")).orderBy("_h", key).limit(max_docs)
-    rows = docs.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).join(F.broadcast(chosen.select(key).distinct()), key)
-    room = F.greatest(F.length(text) - WINDOW, F.lit(0))
-    starts = F.array(*[F.pmod(F.xxhash64(F.lit(k), key), room + 1).cast("int") for k in range(windows)])
-    pieces = rows.select(F.col(label).alias("label"), key, F.explode(F.array_distinct(starts)).alias("_s"), text)
-    return pieces.select("label", key, "_s", F.call_function("substr", F.col(text), F.col("_s") + 1, F.lit(WINDOW)).alias("piece")).toPandas().sort_values([key, "_s", "piece"])
+def sample_windows(docs: DataFrame, key: str, text: str, label: str, max_docs: int = MAX_DOCS, max_windows: int = MAX_WINDOWS) -> pd.DataFrame:
+    """Windows of labelled texts: columns label, window (bytes). Bounded by both limits, whatever the texts and however often a key is repeated."""
+    rows = docs.filter(F.col(text).isNotNull() & F.col(label).isNotNull() & F.col(key).isNotNull())
+    rows = rows.select(key, F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.lit("langid"), key).alias("_h"))
+    # about twice as many keys as are wanted pass, so that neither all keys nor all copies of one are sorted
+    keys = rows.select(F.approx_count_distinct(key, 0.02)).first()[0]
+    span = 1 << 30
+    few = rows.filter(F.pmod("_h", F.lit(span)) < int(span * min(1.0, 2 * max_docs / max(keys, 1))))
+    chosen = few.select(key, "_h").distinct().orderBy("_h", key).limit(max_docs)
+    texts = few.join(F.broadcast(chosen.select(key)), key).groupBy(key).agg(F.min(F.struct("label", "text")).alias("_one")).select(key, "_one.*")
+    texts = materialize(texts.select(key, "label", F.encode("text", "utf-8").alias("_raw")))
+    n = F.ceil(F.greatest(F.octet_length("_raw"), F.lit(1)) / STRIDE).cast("int")
+    at = texts.select(key, "label", "_raw", F.explode(F.sequence(F.lit(0), n - 1)).alias("_k")).withColumn("_at", F.xxhash64("_k", key))
+    window = F.substring(F.col("_raw"), F.col("_k") * STRIDE + 1, F.lit(WINDOW))
+    return at.orderBy("_at", key, "_k").limit(max_windows).select("label", window.alias("window")).toPandas()
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", max_docs: int = MAX_DOCS) -> Network | None:
-    """Train on the labelled rows of docs; None if there are none."""
+    """Train on the labelled rows of docs; None if there are none with a letter."""
     rows = sample_windows(docs, key, text, label, max_docs)
-    rows = rows[[any(map(str.isalpha, p)) for p in rows["piece"]]]
+    rows = rows[[any(map(str.isalpha, bytes(w).decode("utf-8", "ignore"))) for w in rows["window"]]]
     if rows.empty:
         return None
     languages = sorted(rows["label"].unique())
     windows = np.zeros((len(rows), WINDOW), np.uint8)
-    for i, p in enumerate(rows["piece"]):
-        raw = p.encode("utf-8", "surrogatepass")[:WINDOW]
-        windows[i, : len(raw)] = np.frombuffer(raw, np.uint8)
+    for i, w in enumerate(rows["window"]):
+        windows[i, : len(w)] = np.frombuffer(bytes(w), np.uint8)
     return train(windows, rows["label"].map({v: i for i, v in enumerate(languages)}).to_numpy(), languages)
 
 
