@@ -190,7 +190,7 @@ def mix(docs: DataFrame, key: str, weights: tuple[float, ...] = (1.0, 2.0, 3.0),
     Give narrow rows: they are sorted and written once. Inside a cell, the documents that get one copy more than
     the others are those first by a hash of the key.
     """
-    docs = docs.withColumns({"_h": F.xxhash64(key), "_cell": _cell("source", "size")})
+    docs = materialize(docs.withColumns({"_h": F.xxhash64(key), "_cell": _cell("source", "size")}))
     ordered = materialize(dense_index(docs, ["source", "size", "_h", key], "_idx"))
     cells = materialize(ordered.groupBy("source", "size", "_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_idx").alias("_first")))
     targets = materialize(source_targets(cells.select("source", (F.col("size") * F.col("n")).alias("size")), weights, cap))
