@@ -61,12 +61,11 @@ def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted positives: labelled 1, outside the held-out fifth; unlabelled: every document outside it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.described(table(spark, sf_dir, "documents").select("doc_id", "text"))
     held_out = F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False))
     trusted = table(spark, sf_dir, "labels").filter((F.col("quality") == 1) & ~held_out).select("doc_id")
-    known = docs.filter(~held_out)
-    model = quality.fit(known, trusted)
-    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    model = quality.fit(rows.filter(~held_out), trusted)
+    return quality.score(rows, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +83,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
     )
     tree = sharding.uniform_tree(SHARDS)
-    placed = sharding.assign_shard(docs, "doc_id", tree)
-    placed = sharding.assign_shard(placed, "doc_id", sharding.uniform_tree(SHARDS + 1), "grown_shard")
+    placed = sharding.assign_shard(docs, "doc_id", tree, heaviest=1.0)
+    placed = sharding.assign_shard(placed, "doc_id", sharding.uniform_tree(SHARDS + 1), "grown_shard", heaviest=1.0)
     slots = sharding.number_slots(placed, "shard", ["doc_id", "text_crc32", "size"])
     return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 

@@ -11,7 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from cellweft.llm import ann, mixing, neardup, ogg, packing, quality, secret_scan, sharding
+from cellweft.llm import ann, langid, mixing, neardup, ogg, packing, quality, secret_scan, sharding
 from cellweft.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -140,6 +140,47 @@ def test_language_held_out(spark, documents):
     assert (held["lang_pred"] == held["lang"]).mean() >= 0.95 and got["score"].between(0, 1).all()
 
 
+def test_language_forward_pass_by_brute_force():
+    """Embedding, filters, maximum, softmax and the mean over windows, one position at a time."""
+    rng = np.random.default_rng(1)
+    n = langid.FILTERS * len(langid.WIDTHS)
+    net = langid.Network(
+        ["a", "b", "c"], rng.normal(size=(256, langid.EMBEDDING)).astype(np.float32), [rng.normal(size=(w, langid.EMBEDDING, langid.FILTERS)).astype(np.float32) for w in langid.WIDTHS],
+        rng.normal(size=n).astype(np.float32), rng.normal(size=(n, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32),
+    )
+    for size in (1, 200, 253, 254, 600):
+        text = rng.bytes(size)
+        windows, owner, fresh = langid.cut([text])
+        assert owner.tolist() == [0] * len(windows) and fresh.sum() == size
+        assert all(bytes(w[: len(text[k * langid.STRIDE :][: langid.WINDOW])]) == text[k * langid.STRIDE :][: langid.WINDOW] for k, w in enumerate(windows))
+        want = []
+        for w in windows:
+            pooled = []
+            for i, taps in enumerate(net.filters):
+                best = [max(sum(float(net.embedding[w[p + j]] @ taps[j][:, f]) for j in range(len(taps))) for p in range(langid.STRIDE)) for f in range(2)]
+                pooled.append([max(v + float(net.bias[i * langid.FILTERS + f]), 0) for f, v in enumerate(best)])
+            want.append(pooled)
+        got = np.maximum(langid.responses(windows, *net.tables()).max(axis=1) + net.bias, 0).reshape(len(windows), len(langid.WIDTHS), -1)[:, :, :2]
+        assert np.allclose(got, want, atol=1e-3)
+        assert np.allclose(langid.convolve(net, windows), langid.responses(windows, *net.tables()), atol=1e-3)
+        p = langid.probabilities(net, windows, net.tables())
+        z = (np.maximum(langid.convolve(net, windows).max(axis=1) + net.bias, 0) @ net.weights + net.offset).astype(float)
+        assert np.allclose(p, np.exp(z) / np.exp(z).sum(axis=1, keepdims=True), atol=1e-3)
+
+
+def test_language_sample_is_bounded_and_covers_whole_texts(spark):
+    """An id repeated 100,000 times counts once, every language is seen, and windows come from all over a text."""
+    from pyspark.sql import functions as F
+
+    hot = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("ein satz " * 20).alias("text"), F.lit("de").alias("lang"))
+    rest = spark.range(100).select((F.col("id") + 100).alias("doc_id"), F.concat(F.lit("some text " * 3), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    long = spark.createDataFrame([(9999, "".join(f"{i:07d} " for i in range(50_000)), "xx")], "doc_id long, text string, lang string")
+    got = langid.sample_windows(hot.union(rest).union(long), "doc_id", "text", "lang", max_docs=150, max_windows=1000)
+    assert len(got) == 1000 and (got["label"] == "de").sum() <= 1 and (got["label"] == "xx").sum() > 800
+    places = [int(bytes(w).split(b" ")[1]) for w, k in zip(got["window"], got["label"], strict=True) if k == "xx" and len(w) == langid.WINDOW]
+    assert np.histogram(places, 5, (0, 50_000))[0].min() > 100
+
+
 # 4
 def brute_targets(sizes, cap=3):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
@@ -242,23 +283,64 @@ def test_ogg_packets(spark):
 
 
 # 7
-def test_quality_separates_held_out_labels():
-    con = "/root/testdata/sf0.1"
-    df = duckdb.sql(f"select d.doc_id, text, quality from '{con}/documents.parquet' d join '{con}/labels.parquet' using (doc_id) order by 1 limit 2500").df()
-    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in df["doc_id"]])
-    x, q = np.array([quality.describe(t) for t in df["text"]]), df["quality"].to_numpy()
-    prior = quality.estimate_prior(x[(q == 1) & ~held], x[~held])
-    assert abs(prior - q.mean()) < 0.12
-    s = quality.train(x[(q == 1) & ~held], x[~held], prior).score(x)
-    good, bad = s[held & (q == 1)], s[held & (q == 0)]
-    assert (good[:, None] > bad[None]).mean() > 0.97 and (good >= 0.3).mean() > 0.98
+def test_quality_query_separates_held_out_labels(spark):
+    """The contract's columns, and accuracy on labels that were not learned from."""
+    con = "/root/testdata/sf0.01"
+    got = QUERIES["op7_quality"](spark, con).toPandas()
+    docs = duckdb.sql(f"select d.doc_id, quality from '{con}/documents.parquet' d left join '{con}/labels.parquet' using (doc_id)").df()
+    assert sorted(got["doc_id"]) == sorted(docs["doc_id"]) and got["score"].between(0, 1).all()
+    assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got["doc_id"]]).all()
+    assert (got["predicted"] == (got["score"] >= 0.3)).all()
+    both = got.merge(docs.dropna(), on="doc_id")
+    both = both[both["held_out"]]
+    good, bad = both[both["quality"] == 1]["score"].to_numpy(), both[both["quality"] == 0]["score"].to_numpy()
+    assert (good[:, None] > bad[None]).mean() > 0.97 and (good >= 0.3).mean() > 0.98 and (bad < 0.3).mean() > 0.8
+    again = QUERIES["op7_quality"](spark, con).toPandas().sort_values("doc_id")
+    assert np.allclose(again["score"], got.sort_values("doc_id")["score"])
+
+
+def test_quality_sums_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((500, quality.FEATURES)).astype(np.float32)
+    rows = spark.createDataFrame([(v.tolist(), int(i % 2), bool(i % 3 == 0)) for i, v in enumerate(x)], "x array<float>, half int, positive boolean").repartition(40)
+    project = quality.projection(x.mean(0), x.std(0))
+    got = quality._sums(rows, lambda m: quality.Moments.flat(project(m)))
+    for (positive, half), flat in got.items():
+        own = project(x[[i for i in range(500) if i % 2 == half and (i % 3 == 0) == positive]].astype(np.float64))
+        m = quality.Moments.of(flat)
+        assert m.n == len(own) and np.allclose(m.first, own.sum(0)) and np.allclose(m.second, own.T @ own)
+
+
+def test_quality_risk_is_not_negative():
+    """The descent lowers the positive part, and does not let the unlabelled part fall below zero."""
+    rng = np.random.default_rng(5)
+    phi = lambda n, at: np.concatenate([np.ones((n, 1)), rng.normal(at, 1, (n, 3))], axis=1)
+    p, u = phi(400, 1.5), np.concatenate([phi(300, 1.5), phi(300, -1.5)])
+    pos, unl = (quality.Moments.of(quality.Moments.flat(v)) for v in (p, u))
+    risk = lambda w: (0.5 * ((1 - p @ w) ** 2).mean() / 4, ((1 + u @ w) ** 2).mean() / 4 - 0.5 * ((1 + p @ w) ** 2).mean() / 4)
+    w = quality.minimise(pos, unl, 0.5)
+    assert risk(w)[0] < risk(np.zeros(4))[0] / 3 and risk(w)[1] > -0.01
+    assert ((p @ w) > 0).mean() > 0.95 and ((u[300:] @ w) < 0).mean() > 0.95
+
+
+def test_quality_prior():
+    h = lambda *v: np.array(v, float) * 1000
+    assert abs(quality.prior_of(h(0, 0, 4, 6), h(3, 4, 1.2, 1.8)) - 0.3) < 0.02 and quality.prior_of(h(0), h(1)) == 0.5
 
 
 # 8
-def test_neighbours_against_brute_force(spark):
-    con = "/root/testdata/sf0.01"
+@pytest.mark.parametrize("two_levels", [False, True])
+def test_neighbours_against_brute_force(spark, monkeypatch, two_levels):
+    if two_levels:
+        for name, value in (("MAX_PARTS", 8), ("ROWS_PER_PART", 32), ("WIDE", 4)):
+            monkeypatch.setattr(ann, name, value)
+    con = "/root/testdata/sf0.1"
     e = duckdb.sql(f"select vec_id, embedding from '{con}/embeddings.parquet'").df()
     x, ids = np.array(e["embedding"].tolist(), float), e["vec_id"].to_numpy()
+    if two_levels:
+        vectors = spark.read.parquet(f"{con}/embeddings.parquet").select("vec_id", "embedding")
+        base = ann.usable(vectors, "vec_id", "embedding").select(ann.F.col("vec_id").alias("id"), ann.F.col("embedding").alias("v"))
+        assert ann._index(base, len(ids), 5).below
     got = QUERIES["op8_ann"](spark, con).toPandas()
     hit = total = 0
     for i in np.flatnonzero(ids % 50 == 0):
@@ -266,10 +348,19 @@ def test_neighbours_against_brute_force(spark):
         best = [ids[j] for j in np.lexsort((ids, -s)) if ids[j] != ids[i]][:5]
         own = got[got["query_id"] == ids[i]].sort_values("rank")
         assert own["rank"].tolist() == [1, 2, 3, 4, 5] and own["score"].is_monotonic_decreasing
+        assert np.allclose(own["score"], s[np.searchsorted(ids, own["vec_id"])], rtol=0, atol=1e-15) if (np.diff(ids) > 0).all() else True
         hit, total = hit + len(set(best) & set(own["vec_id"])), total + 5
     assert hit / total >= 0.9
 
 
+def test_neighbours_of_extreme_vectors(spark):
+    """Components whose squares overflow or vanish."""
+    rows = [(0, [1e200, 1e200]), (1, [2e-200, 1e-200]), (2, [3.0, 0.0]), (50, [1e-300, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.search(df, df.filter("vec_id % 50 = 0")).collect()}
+    assert abs(got[(0, 1)] - 3 / np.sqrt(10)) < 1e-12 and abs(got[(50, 2)] - 1) < 1e-12 and abs(got[(50, 0)] - np.sqrt(0.5)) < 1e-12
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (3, [2.0, 0.0]), (2, [1.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [1.0]), (50, [0.0, 3.0]), (50, [0.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -378,3 +469,21 @@ def test_sharding_moves_rows_only_into_the_new_shard(spark):
     slots = sharding.number_slots(sharding.assign_shard(df, "id", sharding.uniform_tree(16)), "shard", ["id"])
     for r in slots.groupBy("shard").agg({"slot": "max", "id": "count"}).collect():
         assert r["max(slot)"] == r["count(id)"] - 1
+
+
+def test_sharding_with_a_thousand_shards(spark):
+    """The plan and the cost of a row do not grow with the shards; shares follow the weights at every level."""
+    tree = [sharding.Leaf(x.region, x.rack, x.shard, 1.0 + x.shard % 2) for x in sharding.uniform_tree(1000)]
+    big = {"places": (128, 2, 4), "heaviest": 2.0}
+    d = sharding.assign_shard(spark.range(60_000), "id", tree, **big)
+    got = d.groupBy("shard_region").count().toPandas().set_index("shard_region")["count"]
+    weight = Counter()
+    for x in tree:
+        weight[x.region] += x.weight
+    assert all(abs(got[r] / 60_000 - w / 1500) < 0.003 for r, w in weight.items())
+    assert d.filter("shard div 4 != shard_rack or shard_rack div 2 != shard_region").count() == 0
+    assert abs(d.filter("shard % 2 = 1").count() / 60_000 - 2 / 3) < 0.01
+    grown = sharding.assign_shard(d, "id", [*tree, sharding.Leaf(125, 250, 1000)], "next", **big)
+    assert grown.filter("next != shard and next != 1000").count() == 0
+    with pytest.raises(ValueError, match="no place"):
+        sharding.assign_shard(spark.range(1), "id", sharding.uniform_tree(33))
