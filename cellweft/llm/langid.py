@@ -166,9 +166,11 @@ def sample_windows(docs: DataFrame, key: str, text: str, label: str, max_docs: i
     texts = few.join(F.broadcast(chosen.select(key)), key).groupBy(key).agg(F.min(F.struct("label", "text")).alias("_one")).select(key, "_one.*")
     texts = materialize(texts.select(key, "label", F.encode("text", "utf-8").alias("_raw")))
     n = F.ceil(F.greatest(F.octet_length("_raw"), F.lit(1)) / STRIDE).cast("int")
-    at = texts.select(key, "label", "_raw", F.explode(F.sequence(F.lit(0), n - 1)).alias("_k")).withColumn("_at", F.xxhash64("_k", key))
+    at = texts.select(key, "label", "_raw", F.explode(F.sequence(F.lit(0), n - 1)).alias("_k"))
+    # windows, not texts, go into the order
     window = F.substring(F.col("_raw"), F.col("_k") * STRIDE + 1, F.lit(WINDOW))
-    return at.orderBy("_at", key, "_k").limit(max_windows).select("label", window.alias("window")).toPandas()
+    rows = at.select(key, "label", "_k", F.xxhash64("_k", key).alias("_at"), window.alias("window"))
+    return rows.orderBy("_at", key, "_k").limit(max_windows).select("label", "window").toPandas()
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", max_docs: int = MAX_DOCS) -> Network | None:
