@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from cellweft.operators import neighbours as N
 from cellweft.operators import normalize as Z
+from cellweft.operators.ordering import dense_index
 from cellweft.operators.relational import label_entropy, roll_up, stratified_sample
 from cellweft.plans.checkpoints import materialize
 
@@ -160,9 +161,8 @@ def transfer(reference: DataFrame, cells: DataFrame, prior: DataFrame, hierarchy
     hierarchy lists (mapping, fine, coarse) from fine to coarse; permute deals the reference labels anew, as a null model.
     """
     if permute:
-        n = Window.orderBy("id")
-        a = reference.drop("label").withColumn("_k", F.row_number().over(n))
-        b = reference.select("label", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id")).alias("_k"))
+        a = dense_index(reference.drop("label"), ["id"], "_k")
+        b = dense_index(reference.select("label", "id"), [F.xxhash64(F.lit(seed), "id"), "id"], "_k").drop("id")
         reference = a.join(b, "_k").drop("_k")
     shares = NearestNeighbours(k, metric).train(reference).shares(cells).withColumnRenamed("share", "p")
     post = materialize(posterior(shares, prior))
@@ -174,8 +174,8 @@ def transfer(reference: DataFrame, cells: DataFrame, prior: DataFrame, hierarchy
     return out
 
 
-def iterative_classify(reference: DataFrame, cells: DataFrame, levels: list[str], make: Callable[[], Classifier], ignore_errors: bool = True) -> DataFrame:
-    """Level by level, each within the parent predicted above: (id, one column a level). One class needs no model; a failure is named `failed` on request."""
+def iterative_classify(reference: DataFrame, cells: DataFrame, levels: list[str], make: Callable[[], Classifier], ignore_errors: bool = False) -> DataFrame:
+    """Level by level, each within the parent predicted above: (id, one column a level). One class needs no model; on request, cells under a parent that has no reference cell are named `failed`. Other errors are raised."""
     out = cells.select("id", "bits").withColumn("_parent", F.lit(""))
     ref = reference.withColumn("_parent", F.lit(""))
     for level in levels:
@@ -184,17 +184,14 @@ def iterative_classify(reference: DataFrame, cells: DataFrame, levels: list[str]
         for parent in parents:
             own, known = out.filter(F.col("_parent") == parent), ref.filter(F.col("_parent") == parent).withColumn("label", F.col(level))
             kinds = [r["label"] for r in known.select("label").distinct().limit(2).collect()]
-            try:
-                if len(kinds) == 1:
-                    part = own.select("id", F.lit(kinds[0]).alias("label"))
-                elif not kinds:
-                    raise ValueError(f"no reference cell under {parent!r}")
-                else:
-                    part = make().train(known.select("id", "bits", "label")).classify(own.select("id", "bits"))
-            except Exception:
-                if not ignore_errors:
-                    raise
+            if len(kinds) == 1:
+                part = own.select("id", F.lit(kinds[0]).alias("label"))
+            elif kinds:
+                part = make().train(known.select("id", "bits", "label")).classify(own.select("id", "bits"))
+            elif ignore_errors:
                 part = own.select("id", F.lit("failed").alias("label"))
+            else:
+                raise ValueError(f"no reference cell under {parent!r}")
             got = part if got is None else got.unionByName(part)
         out = materialize(out.join(got.withColumnRenamed("label", level), "id").withColumn("_parent", F.col(level)))
         ref = ref.withColumn("_parent", F.col(level))

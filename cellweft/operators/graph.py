@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellweft.functions import arrays as A
+from cellweft.operators.ordering import dense_index
 from cellweft.operators.relational import conditional_entropy
 from cellweft.plans.checkpoints import materialize
 
@@ -37,17 +40,77 @@ def section_edges(edges: DataFrame, nodes: DataFrame, section: str) -> DataFrame
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
+#: Edges that one task joins.
+TASK_EDGES = 1_000_000
+
+
+def _least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, least node of the component) of the edges a-b: roots are hooked to lesser ones and paths cut short until nothing changes."""
+    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = inverse[: len(a)], inverse[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        lo, hi = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        open_edges = lo != hi
+        if not open_edges.any():
+            return nodes, nodes[label]
+        np.minimum.at(label, hi[open_edges], lo[open_edges])
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    nodes, least = _least_labels(pdf["src"].to_numpy(), pdf["dst"].to_numpy())
+    return pd.DataFrame({"id": nodes, "component": least})
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): the least node id of each connected component, isolated nodes included.
 
-    Least labels travel along edges and are then short-cut through the label's own label, so that long paths take a number of rounds
-    logarithmic in their length; every round is written to the checkpoint folder.
+    Every partition first joins its own edges and hands on a star for each of its components. If what is left fits into a task, one task joins it; if not,
+    least labels travel along the edges and are short-cut through the label's own label, so that long paths take a number of rounds logarithmic in
+    their length; every round is written to the checkpoint folder.
     """
+
+    def shrink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A partition's edges as stars, a bounded number of edges at a time."""
+        held = pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64)})
+
+        def stars(e: pd.DataFrame) -> pd.DataFrame:
+            got = _joined(e)
+            got = got[got["id"] != got["component"]]
+            return pd.DataFrame({"src": got["component"].to_numpy(), "dst": got["id"].to_numpy()})
+
+        for batch in batches:
+            held = pd.concat([held, batch[["src", "dst"]]])
+            if len(held) >= TASK_EDGES:
+                held = stars(held)
+                if len(held) >= TASK_EDGES // 2:
+                    yield held
+                    held = held.iloc[:0]
+        if len(held):
+            yield stars(held)
+
+    ids = nodes.select(F.col("id").cast("long").alias("id"))
+    loose = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst")
+    few = materialize(loose.mapInPandas(shrink, "src long, dst long"))
+    if few.count() <= TASK_EDGES:
+        labels = few.groupBy(F.lit(0).alias("_all")).applyInPandas(_joined, "id long, component long")
+    else:
+        labels = _spread(few)
+    # nodes that no edge names are components of their own
+    named = ids.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    kinds = dict(nodes.dtypes)
+    return materialize(named.select(*[F.col(c).cast(kinds["id"]).alias(c) for c in ("id", "component")]))
+
+
+def _spread(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes that have an edge, by rounds of least labels."""
     e = materialize(both_ways(simple_edges(edges)))
-    labels = materialize(nodes.select("id", F.col("id").alias("component")))
+    labels = materialize(e.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("_m")).select("id", F.least("id", "_m").alias("component")))
     while True:
         near = e.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("_near"))
-        step = labels.join(near, "id", "left").select("id", F.col("component").alias("_old"), F.least("component", F.coalesce("_near", "component")).alias("_l"))
+        step = labels.join(near, "id").select("id", F.col("component").alias("_old"), F.least("component", "_near").alias("_l"))
         jump = labels.select(F.col("id").alias("_l"), F.col("component").alias("_j"))
         step = materialize(step.join(jump, "_l").select("id", "_old", F.least("_l", "_j").alias("component")))
         changed = step.filter("component <> _old").limit(1).count()
@@ -87,8 +150,7 @@ def contract(nodes: DataFrame, edges: DataFrame, mapping: DataFrame, bits: str |
     aggs = [F.sum(size).alias("node_size"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.min_by("type_ix", "id").alias("type_ix"), F.min("id").alias("first_id")]
     aggs += [F.min_by("section", "id").alias("section")] if "section" in nodes.columns else []
     aggs += [F.array(*[F.avg(F.col(bits)[i]) for i in range(n)]).alias(bits)] if bits else []
-    units = rows.groupBy("_u").agg(*aggs).withColumn("unit_id", F.row_number().over(Window.orderBy("first_id")) - 1)
-    units = materialize(units)
+    units = materialize(dense_index(rows.groupBy("_u").agg(*aggs), ["first_id"], "unit_id"))
     upstream = mapping.select("id", F.col(mapping.columns[1]).alias("_u")).join(units.select("_u", "unit_id"), "_u").select("id", "unit_id")
     return units.drop("_u"), quotient_edges(edges, upstream, "unit_id"), upstream
 
@@ -128,17 +190,24 @@ def local_median(edges: DataFrame, nodes: DataFrame, value: str, order: int = 3)
     return hops(edges, nodes, order).join(v, "dst").groupBy(F.col("src").alias("id")).agg(F.median("_v").alias("smooth"))
 
 
-def gradient(edges: DataFrame, nodes: DataFrame, value: str, signed: bool = False) -> DataFrame:
-    """(id, gradient): mean over incident edges of the slope along the edge; signed counts the other end negatively, so that it cancels."""
+def gradient(edges: DataFrame, nodes: DataFrame, value: str, signed: bool = False, slope: str = "components") -> DataFrame:
+    """(id, gradient): mean over incident edges of the slope; signed counts the other end negatively, so that it cancels.
+
+    components: sqrt((dv cos a / dx)^2 + (dv sin a / dy)^2) with a = atan(dx / dy); an edge along an axis has no angle to divide by, and its
+    difference quotient counts. along: the difference quotient |dv| / d on all edges. Ends in one place have slope 0.
+    """
+    if slope not in ("components", "along"):
+        raise ValueError(f"unknown slope {slope}")
     n = nodes.select("id", "x", "y", F.col(value).alias("v"))
     e = simple_edges(edges)
     for end in ("src", "dst"):
         e = e.join(n.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("x", "y", "v")]), end)
     dx, dy, dv = (F.col(f"{c}_dst") - F.col(f"{c}_src") for c in ("x", "y", "v"))
     d2 = dx * dx + dy * dy
-    # |dv cos a / dx|, |dv sin a / dy| along an edge at angle a from the y axis
-    slope = F.when(d2 > 0, F.abs(dv) / F.sqrt(d2)).otherwise(F.lit(0.0))
-    g = e.select("src", "dst", slope.alias("g"))
+    quotient = F.when(d2 > 0, F.abs(dv) / F.sqrt(d2)).otherwise(F.lit(0.0))
+    # cos a = |dy| / d and |sin a| = |dx| / d
+    parts = F.abs(dv) * F.sqrt((dy / dx) * (dy / dx) + (dx / dy) * (dx / dy)) / F.sqrt(d2)
+    g = e.select("src", "dst", (F.when((dx != 0) & (dy != 0), parts).otherwise(quotient) if slope == "components" else quotient).alias("g"))
     ends = g.select(F.col("src").alias("id"), "g").union(g.select(F.col("dst").alias("id"), (-F.col("g") if signed else F.col("g")).alias("g")))
     return ends.groupBy("id").agg(F.avg("g").alias("gradient"))
 

@@ -1,26 +1,57 @@
 """Neighbour joins: k nearest and radius, in the plane or over features.
 
-Plane joins go through a grid: points meet only those of the 3 x 3 cells around them, an equi-join on (section, cell) that shuffles each
-point nine times instead of pairing a section with itself. k nearest starts with a cell that holds about k points and widens the ring for
-the points whose k-th neighbour could lie outside, until all are settled.
+The radius join goes through a grid: points meet only those of the 3 x 3 cells around them, an equi-join on (section, cell) that shuffles each
+point nine times instead of pairing a section with itself. k nearest in the plane deals a section into tiles by quantiles of x and then of y, so that
+a tile holds a bounded number of points wherever they lie; a point whose k-th neighbour in its tile is nearer than the tile's border is
+settled there, and the others ask the tiles that their circle touches, once.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellweft.functions import arrays as A
+from cellweft.plans.checkpoints import materialize
 
-METRICS = {
-    "euclidean": lambda a, b: F.sqrt(A.squared_distance(a, b)),
-    "cosine": lambda a, b: 1 - A.cosine(a, b),
-    "correlation": lambda a, b: 1 - A.pearson(a, b),
-    "jensenshannon": lambda a, b: F.sqrt(F.greatest(A.jensen_shannon(a, b), F.lit(0.0))),
-}
+#: Points of a tile, about; quantiles that cut a section into strips, and a strip into tiles.
+TILE, CUTS = 4096, 256
+#: Rows of a side of a pair of blocks over features; rows of a matrix of distances.
+BLOCK, ROWS = 16_384, 256
+
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _euclidean(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.stack([((b - v) ** 2).sum(axis=1) for v in q]))
+
+
+def _cosine(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 1 - _unit(q) @ _unit(b).T
+
+
+def _correlation(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _cosine(q - q.mean(axis=1, keepdims=True), b - b.mean(axis=1, keepdims=True))
+
+
+def _jensen_shannon(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def entropy(p: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(p > 0, -p * np.log2(p), 0.0).sum(axis=1)
+
+    return np.sqrt(np.maximum(np.stack([entropy((b + v) / 2) - (entropy(b) + entropy(v[None])) / 2 for v in q]), 0.0))
+
+
+METRICS = {"euclidean": _euclidean, "cosine": _cosine, "correlation": _correlation, "jensenshannon": _jensen_shannon}
 
 
 def _cells(points: DataFrame, size: Column | float) -> DataFrame:
@@ -46,53 +77,134 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def knn_plane(points: DataFrame, k: int, include_self: bool = False, checkpoint: bool = True) -> DataFrame:
+def _nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns of the k least of each row of d, the first columns first among equals, and their distances; absent ones have infinite distance."""
+    n = d.shape[1]
+    m = min(k, n)
+    if n <= k + 16:
+        top = np.argsort(d, axis=1, kind="stable")[:, :m]
+    else:
+        some = np.sort(np.argpartition(d, k + 15, axis=1)[:, : k + 16], axis=1)
+        near = np.take_along_axis(d, some, 1)
+        top = np.take_along_axis(some, np.argsort(near, axis=1, kind="stable")[:, :m], 1)
+        # ties at the k-th place may reach beyond those picked
+        tied = np.flatnonzero(near.max(axis=1) <= np.take_along_axis(d, top[:, -1:], 1)[:, 0])
+        top[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :m]
+    return top, np.take_along_axis(d, top, 1)
+
+
+def _search(q: pd.DataFrame, points: pd.DataFrame, k: int, include_self: bool) -> tuple[list[list[int]], list[list[float]]]:
+    """ids and distances of the k points nearest to each row of q (src, x, y), ties by id."""
+    points = points.sort_values("id", kind="stable")
+    ids, x, y = points["id"].to_numpy(), points["x"].to_numpy(), points["y"].to_numpy()
+    src, qx, qy = q["src"].to_numpy(), q["x"].to_numpy(), q["y"].to_numpy()
+    near, dist = [], []
+    for a in range(0, len(src), ROWS):
+        own = slice(a, a + ROWS)
+        dx, dy = x[None] - qx[own, None], y[None] - qy[own, None]
+        d = np.sqrt(dx * dx + dy * dy)
+        if not include_self:
+            d[src[own, None] == ids[None]] = np.inf
+        top, far = _nearest(d, k)
+        for t, f in zip(top, far, strict=True):
+            ok = np.isfinite(f)
+            near.append(ids[t[ok]].tolist())
+            dist.append(f[ok].tolist())
+    return near, dist
+
+
+def _cut(points: DataFrame, by: list[str], axis: str, parts: Column, out: str) -> DataFrame:
+    """points dealt along an axis into `parts` (of the _n rows of each group) by quantiles: the part, and where it begins and ends."""
+    at = [i / CUTS for i in range(1, CUTS)]
+    q = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(axis, at, 10_000).alias("_q")).withColumn("_parts", F.least(F.lit(CUTS), F.greatest(parts, F.lit(1))).cast("int"))
+    # a part ends at the quantile that its share of the cuts falls on, and the next begins beyond it
+    ends = F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda j: F.element_at("_q", F.ceil(j * CUTS / F.col("_parts")).cast("int"))))
+    q = q.select(*by, F.when(F.col("_parts") > 1, ends).otherwise(F.array().cast("array<double>")).alias("_ends"))
+    j = points.join(q, by).withColumn(out, F.size(F.filter("_ends", lambda e: e < F.col(axis))))
+    low = F.when(F.col(out) > 0, F.get("_ends", F.col(out) - 1)).otherwise(F.lit(float("-inf")))
+    return j.withColumns({f"_{axis}lo": low, f"_{axis}hi": F.coalesce(F.get("_ends", F.col(out)), F.lit(float("inf")))}).drop("_ends")
+
+
+def knn_plane(points: DataFrame, k: int, include_self: bool = False, tile: int = TILE) -> DataFrame:
     """(src, dst, dist, rank): the k nearest points of the same section, ties by id; rank from 1."""
-    p = points.select("id", "section", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    box = p.groupBy("section").agg(F.count(F.lit(1)).alias("_n"), (F.max("x") - F.min("x")).alias("_w"), (F.max("y") - F.min("y")).alias("_h"))
-    # a cell that would hold about k points of an even section
-    side = F.sqrt(F.greatest(F.col("_w"), F.lit(1e-9)) * F.greatest(F.col("_h"), F.lit(1e-9)) * F.lit(float(k + 1)) / F.col("_n"))
-    size = F.greatest(side, F.greatest("_w", "_h") / F.lit(1e6), F.lit(1e-9))
-    p = p.join(box.select("section", size.alias("_size"), "_n", F.ceil(F.greatest("_w", "_h") / size).alias("_across")), "section")
-    p = _cells(p, F.col("_size"))
-    target = p.select(F.col("id").alias("dst"), "section", "_cx", "_cy", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    open_points, done, reach = p, None, 1
-    while True:
-        asked = _around(open_points, reach)
-        d = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
-        pairs = asked.join(target, ["section", "_cx", "_cy"]).filter(F.lit(True) if include_self else F.col("id") != F.col("dst"))
-        found = _top(pairs.select(F.col("id").alias("src"), "dst", d.alias("dist"), "_size", "_across", "_n"), k)
-        # nothing outside the ring is nearer than `reach` cells
-        last = found.groupBy("src").agg(F.count(F.lit(1)).alias("_c"), F.max("dist").alias("_far"), F.first("_size").alias("_s"), F.first("_across").alias("_a"))
-        sure = last.filter(((F.col("_c") == k) & (F.col("_far") <= F.col("_s") * reach)) | (F.col("_a") < reach)).select("src")
-        settled = found.join(sure, "src", "left_semi").select("src", "dst", "dist", "rank")
-        done = settled if done is None else done.unionByName(settled)
-        rest = open_points.join(sure.withColumnRenamed("src", "id"), "id", "left_anti")
-        if checkpoint:
-            from cellweft.plans.checkpoints import materialize
-
-            done, rest = materialize(done), materialize(rest)
-        # a point alone in its section has no pairs at all
-        rest = rest.filter(F.col("_across") >= reach)
-        if not rest.limit(1).count():
-            return done
-        open_points, reach = rest, reach * 2
-
-
-def knn_features(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", bits: str = "bits", include_self: bool = False, block: int = 2000) -> DataFrame:
-    """(src, dst, dist, rank): exact k nearest rows of base for each query over a feature array.
-
-    Queries and base rows are dealt into blocks by hash; each pair of blocks is one bounded join task, and keeps k candidates a query before the final
-    ranking. For the approximate search of very large tables see the LSH-based knn_approximate.
+    p = points.select("id", "section", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("section is not null and x is not null and y is not null")
+    at = ["section", "_strip", "_tile"]
+    p = _cut(p, ["section"], "x", F.ceil(F.sqrt(F.col("_n") / tile)), "_strip")
+    p = materialize(_cut(p, ["section", "_strip"], "y", F.ceil(F.col("_n") / tile), "_tile"))
+    schema = "src long, x double, y double, dst array<long>, dist array<double>, reach double, settled boolean"
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = pdf[["id", "x", "y"]].rename(columns={"id": "src"})
+        dst, dist = _search(q, pdf, k, include_self)
+        reach = np.array([d[-1] if len(d) == k else np.inf for d in dist])
+        room = np.minimum.reduce([pdf["x"] - pdf["_xlo"], pdf["_xhi"] - pdf["x"], pdf["y"] - pdf["_ylo"], pdf["_yhi"] - pdf["y"]])
+        whole = bool(np.isinf(pdf[["_xlo", "_xhi", "_ylo", "_yhi"]].to_numpy()).all())
+        return q.assign(dst=dst, dist=dist, reach=reach, settled=(reach < room) | whole)
+
+    first = materialize(p.groupBy(*at).applyInPandas(lambda key, pdf: inside(pdf).assign(section=key[0], _strip=key[1], _tile=key[2]), f"{schema}, section string, _strip int, _tile int"))
+    pairs = first.select("src", F.inline(F.arrays_zip(F.col("dst"), F.col("dist"))))
+    rest = first.filter(~F.col("settled"))
+    if rest.limit(1).count():
+        found = _beyond(rest, p, at, k, include_self)
+        pairs = _top(pairs.unionByName(found).dropDuplicates(["src", "dst"]), k)
+        return pairs.select("src", "dst", "dist", "rank")
+    return first.select("src", F.posexplode(F.arrays_zip(F.col("dst"), F.col("dist"))).alias("_k", "_p")).select("src", "_p.dst", "_p.dist", (F.col("_k") + 1).alias("rank"))
+
+
+def _beyond(rest: DataFrame, p: DataFrame, at: list[str], k: int, include_self: bool) -> DataFrame:
+    """(src, dst, dist): for the points that are not settled, the k nearest in each other tile that their circle touches: strips first, then tiles of a strip."""
+    box = p.groupBy(*at).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    strips = box.groupBy("section", "_strip").agg(F.min("_x0").alias("_s0"), F.max("_x1").alias("_s1"))
+    off = lambda c, lo, hi: F.greatest(F.col(lo) - F.col(c), F.col(c) - F.col(hi), F.lit(0.0))
+    q = rest.select("src", "x", "y", "reach", "section", F.col("_strip").alias("_own_strip"), F.col("_tile").alias("_own_tile"))
+    q = q.join(strips, "section").filter(off("x", "_s0", "_s1") <= F.col("reach")).drop("_s0", "_s1").join(box, ["section", "_strip"])
+    # a little more, so that the rounding of distances does not decide
+    near = F.sqrt(F.pow(off("x", "_x0", "_x1"), F.lit(2.0)) + F.pow(off("y", "_y0", "_y1"), F.lit(2.0))) <= F.col("reach") * (1 + 1e-9)
+    q = q.filter(near & ~((F.col("_strip") == F.col("_own_strip")) & (F.col("_tile") == F.col("_own_tile")))).select("src", "x", "y", *[F.col(c).alias(f"_ask{c}") for c in at])
+
+    def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype=object), "dist": pd.Series(dtype=object)})
+        dst, dist = _search(a, b, k, include_self)
+        return pd.DataFrame({"src": a["src"].to_numpy(), "dst": dst, "dist": dist})
+
+    got = q.groupBy(*[f"_ask{c}" for c in at]).cogroup(p.select("id", "x", "y", *at).groupBy(*at)).applyInPandas(search, "src long, dst array<long>, dist array<double>")
+    return got.select("src", F.inline(F.arrays_zip(F.col("dst"), F.col("dist"))))
+
+
+def knn_features(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", bits: str = "bits", include_self: bool = False, block: int = BLOCK) -> DataFrame:
+    """(src, dst, dist, rank): exact k nearest rows of base for each query over a feature array, distances to 12 places, ties by id.
+
+    Queries and base rows are dealt into blocks by hash; each pair of blocks is one task of bounded size that hands on k candidates a query. All
+    pairs are compared, as exactness over features asks. For the approximate search of very large tables see knn_approximate.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
-    nb = max(1, math.ceil(base.count() / block))
-    b = base.select(F.col("id").alias("dst"), F.col(bits).alias("_b")).withColumn("_block", F.pmod(F.xxhash64("dst"), F.lit(nb)))
-    q = queries.select(F.col("id").alias("src"), F.col(bits).alias("_q")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
-    pairs = q.join(b, "_block")
-    pairs = pairs if include_self else pairs.filter("src <> dst")
-    return _top(pairs.select("src", "dst", METRICS[metric](F.col("_q"), F.col("_b")).alias("dist")), k)
+    distance = METRICS[metric]
+    parts = lambda df, size: F.lit(max(1, math.ceil(df.count() / size)))
+    nb, nq = parts(base, block), parts(queries, max(1, block // 8))
+    # each row is dealt to one block of its own side and meets all of the other
+    b = base.select(F.col("id").alias("dst"), F.col(bits).alias("v")).withColumns({"_b": F.pmod(F.xxhash64("dst"), nb), "_q": F.explode(F.sequence(F.lit(0), nq - 1))})
+    q = queries.select(F.col("id").alias("src"), F.col(bits).alias("v")).withColumns({"_q": F.pmod(F.xxhash64("src"), nq).cast("int"), "_b": F.explode(F.sequence(F.lit(0).cast("long"), nb.cast("long") - 1))})
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})]
+        if len(left) and len(right):
+            right = right.sort_values("dst", kind="stable")
+            ids, v = right["dst"].to_numpy(), np.array(right["v"].tolist(), np.float64)
+            src, w = left["src"].to_numpy(), np.array(left["v"].tolist(), np.float64)
+            for a in range(0, len(src), ROWS):
+                d = np.round(distance(w[a : a + ROWS], v), 12)
+                d[np.isnan(d)] = np.inf
+                if not include_self:
+                    d[src[a : a + ROWS, None] == ids[None]] = np.inf
+                top, far = _nearest(d, k)
+                ok = np.isfinite(far)
+                out.append(pd.DataFrame({"src": np.repeat(src[a : a + ROWS], ok.sum(axis=1)), "dst": ids[top[ok]], "dist": far[ok]}))
+        return pd.concat(out)
+
+    found = q.groupBy("_q", "_b").cogroup(b.groupBy("_q", "_b")).applyInPandas(compare, "src long, dst long, dist double")
+    return _top(found, k)
 
 
 def knn_approximate(df: DataFrame, k: int, bits: str = "bits", bucket: float = 0.5, tables: int = 8, seed: int = 0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellweft.functions import arrays as A
+from cellweft.operators.ordering import dense_index
 
 # filters and projections
 
@@ -248,14 +249,15 @@ def weighted_tabulation(df: DataFrame, value: str, reference: DataFrame, weight:
 
 
 def ordinal_rank(df: DataFrame, value: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
-    """rank from 0 in the order of value, ties by another column; give `by` on large tables."""
+    """rank from 0 in the order of value, ties by another column; over the whole table by ranges, within `by` by a window."""
+    if not by:
+        return dense_index(df, [value, tie], "rank")
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(value, tie)) - 1)
 
 
 def dense_labels(df: DataFrame, keys: Sequence[str], name: str = "dense") -> DataFrame:
     """Dense numbers from 0 of the distinct keys in their order; the keys are ranked, not the rows."""
-    k = df.select(*keys).distinct().withColumn(name, F.row_number().over(Window.orderBy(*keys)) - 1)
-    return df.join(k, list(keys))
+    return df.join(dense_index(df.select(*keys).distinct(), list(keys), name), list(keys))
 
 
 def section_order(sections: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.functions import arrays as A
+from cellweft.operators.normalize import feature_aggregates
 
 # triangulation
 
@@ -438,35 +439,109 @@ def register_tiles(pairs: DataFrame) -> DataFrame:
     return pairs.select("tile", "fixed", "moving").mapInPandas(run, "tile long, dy int, dx int, error double")
 
 
-def filter_image(img: np.ndarray, how: str, value: float) -> np.ndarray:
-    """clip (at a quantile), gaussian, median, minimum, percentile (removed), rolling_ball, polyfit (removed); anything else gives zeros."""
-    if how == "clip":
-        return np.clip(img, None, np.quantile(img, value))
-    if how == "gaussian":
-        k = np.array([w for _, w in gaussian_kernel(value)])
-        pad = len(k) // 2
-        out = np.pad(img.astype(float), pad, mode="symmetric" if pad <= min(img.shape) else "edge")
-        for axis in (0, 1):
-            out = np.apply_along_axis(lambda v: np.convolve(v, k, mode="valid"), axis, out)
-        return out
+def _windows(img: np.ndarray, size: int) -> np.ndarray:
+    """The size x size values around each pixel, sorted, borders mirrored; an even window reaches further back."""
+    before, after = size // 2, size - size // 2 - 1
+    padded = np.pad(img, ((before, after), (before, after)), mode="symmetric")
+    return np.sort(np.lib.stride_tricks.sliding_window_view(padded, (size, size)).reshape(*img.shape, -1), axis=2)
+
+
+def _gaussian(img: np.ndarray, sigma: float) -> np.ndarray:
+    """Gaussian smoothing along every axis, borders mirrored."""
+    k = np.array([w for _, w in gaussian_kernel(sigma)])
+    out = img.astype(float)
+    for axis in range(img.ndim):
+        out = np.apply_along_axis(lambda v: np.convolve(np.pad(v, len(k) // 2, mode="symmetric"), k, mode="valid"), axis, out)
+    return out
+
+
+def _rolled_ball(img: np.ndarray, radius: float) -> np.ndarray:
+    """Height of the centre of a ball's top that rolls below the surface: the least, over the ball, of the value plus how far the ball lies below its top there."""
+    r = int(np.ceil(radius))
+    padded = np.pad(img.astype(float), r, constant_values=np.inf)
+    out = np.full(img.shape, np.inf)
+    for dy in range(-r, r + 1):
+        for dx in range(-r, r + 1):
+            left = radius * radius - dy * dy - dx * dx
+            if left >= 0:
+                out = np.minimum(out, padded[r + dy : r + dy + img.shape[0], r + dx : r + dx + img.shape[1]] + radius - np.sqrt(left))
+    return out
+
+
+def _blocks_up(img: np.ndarray, how: str, value: str) -> np.ndarray:
+    """Blocks reduced, smoothed on request, and drawn up to the image's size by linear interpolation."""
+    block = []
+    for n, want in zip(img.shape, value.split("|"), strict=True):
+        whole = [d for d in range(1, n) if n % d == 0] or [1]
+        block.append(min(whole, key=lambda d: (abs(d - int(want)), d)))
+    parts = img.reshape(img.shape[0] // block[0], block[0], img.shape[1] // block[1], block[1]).swapaxes(1, 2).reshape(img.shape[0] // block[0], img.shape[1] // block[1], -1)
+    if "percentile" in how:
+        digits = [t for t in how.replace("_", " ").split() if t.replace(".", "").isdigit()]
+        small = np.percentile(parts, float(digits[0]) if digits else 50.0, axis=2)
+    else:
+        small = next((f for name, f in (("mean", np.mean), ("median", np.median), ("max", np.max), ("min", np.min)) if name in how), np.mean)(parts, axis=2)
+    small = _gaussian(small, 1) if "smooth" in how else small
+    for axis, n in enumerate(img.shape):
+        at = np.linspace(0, n, small.shape[axis])
+        small = np.apply_along_axis(lambda v, at=at, n=n: np.interp(np.arange(n), at, v), axis, small)
+    return small
+
+
+def filter_image(img: np.ndarray, how: str, value: float | str) -> np.ndarray:
+    """The filtered image, or the background that a filter finds.
+
+    gaussian (sigma); median, minimum, percentile_p (window size); rolling_ball (radius, smoothed before and after); spline, with mean, median, max, min,
+    percentile_p or smooth in the name (block "height|width"); polyfit_d (percentile of the row and column profiles, fitted to degree d and averaged).
+    A name with robust or robust[lo,hi] clips at these percentiles (5 and 95) first. Any other name gives zeros.
+    """
+    if "robust" in how:
+        low, high = (float(v) for v in how.split("[")[1].split("]")[0].split(",")) if "[" in how else (5.0, 95.0)
+        img = np.clip(img, *np.percentile(img, [low, high]))
+    if "gaussian" in how:
+        return _gaussian(img, float(value))
     if how in ("median", "minimum"):
-        r = int(value) // 2
-        win = np.lib.stride_tricks.sliding_window_view(np.pad(img, r, mode="edge"), (2 * r + 1, 2 * r + 1))
-        return np.median(win, axis=(2, 3)) if how == "median" else win.min(axis=(2, 3))
-    if how == "percentile":
-        return img - np.percentile(img, value)
-    if how == "rolling_ball":
-        low = filter_image(img, "minimum", 2 * int(value) + 1)
-        r = int(value)
-        top = np.lib.stride_tricks.sliding_window_view(np.pad(low, r, mode="edge"), (2 * r + 1, 2 * r + 1)).max(axis=(2, 3))
-        return img - top
-    if how == "polyfit":
-        y, x = np.mgrid[: img.shape[0], : img.shape[1]] / max(img.shape)
-        terms = np.stack([(x**i * y**j).ravel() for i in range(int(value) + 1) for j in range(int(value) + 1 - i)], axis=1)
-        return img - (terms @ np.linalg.lstsq(terms, img.ravel(), rcond=None)[0]).reshape(img.shape)
+        w = _windows(img, int(value))
+        return w[:, :, w.shape[2] // 2 if how == "median" else 0]
+    if "rolling_ball" in how:
+        return _gaussian(_rolled_ball(_gaussian(img, float(value) / 5), float(value)), float(value))
+    if "spline" in how:
+        return _blocks_up(img, how, str(value))
+    if "percentile" in how:
+        w = _windows(img, int(value))
+        return w[:, :, min(int(w.shape[2] * int(how.split("_")[-1]) / 100), w.shape[2] - 1)]
+    if "polyfit" in how:
+        degree, profiles = int(how.split("_")[1]), []
+        for axis in (0, 1):
+            p = _gaussian(np.percentile(img, float(value), axis=axis), 1)
+            profiles.append(np.polyval(np.polyfit(np.arange(len(p)), p, degree), np.arange(len(p))))
+        return (profiles[0][None, :] + profiles[1][:, None]) / 2
     return np.zeros_like(img, float)
 
 
+def filter_images(pixels: DataFrame, how: str, value: float | str, by: str = "image") -> DataFrame:
+    """Each whole image of (image, row, col, value) filtered, one image a task; absent pixels count 0."""
+    kind = pixels.schema[by].dataType.simpleString()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+        img = np.zeros((r.max() + 1, c.max() + 1))
+        img[r, c] = pdf["value"]
+        out = filter_image(img, how, value)
+        rows, cols = np.indices(out.shape)
+        return pd.DataFrame({by: key[0], "row": rows.ravel(), "col": cols.ravel(), "value": out.ravel().astype(float)})
+
+    return pixels.select(by, F.col("row").cast("int"), F.col("col").cast("int"), F.col("value").cast("double")).groupBy(by).applyInPandas(run, f"{by} {kind}, row int, col int, value double")
+
+
+def subtract_background(pixels: DataFrame, smoothing: tuple[str, float | str] | None, background: tuple[str, float | str] | None, by: str = "image") -> DataFrame:
+    """Smoothed, the background of the smoothed image taken off, clipped at 0; either step may be left out."""
+    smooth_one = filter_images(pixels, *smoothing, by=by) if smoothing else pixels.select(by, "row", "col", F.col("value").cast("double").alias("value"))
+    if not background:
+        return smooth_one.withColumn("value", F.greatest(F.lit(0.0), F.col("value")))
+    low = filter_images(smooth_one, *background, by=by).withColumnRenamed("value", "_b")
+    return smooth_one.join(low, [by, "row", "col"]).select(by, "row", "col", F.greatest(F.lit(0.0), F.col("value") - F.col("_b")).alias("value"))
+
+
 def edge_preserving(img: np.ndarray, alpha: float = 1.0, beta: float = 0.1, epsilon: float = 0.05, rounds: int = 5, inner: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """(smoothed image, edge map): smoothing that stops at edges, by alternating two linear problems, each solved by conjugate gradients.
 
@@ -540,12 +615,27 @@ def threshold_segments(raster: DataFrame, threshold: float) -> DataFrame:
     return on.join(components(e, on), "id").select("row", "col", F.col("component").alias("label"))
 
 
-def nuclear_score(cells: DataFrame, bits: str, n: int) -> DataFrame:
-    """cells plus qc_sum: density of the standardised log10 row sum relative to its mode."""
+def nuclear_score(cells: DataFrame, bits: str, n: int, nuclear: str | None = None) -> DataFrame:
+    """cells plus qc_sum, the density of the log10 row sum about its median relative to its mode, and for nuclear features plus nuc_score, an array.
+
+    Nuclear values, at least 1, are divided by their feature's median over the cells and then by their cell's median; what they are off their cell's median, in
+    units of the mean deviation of a cell, has that density.
+    """
     s = cells.withColumn("_l", F.log10(F.greatest(A.total(F.col(bits)), F.lit(1.0))))
-    m = s.agg(F.avg("_l").alias("m"), F.stddev_pop("_l").alias("d")).first()
+    m = s.agg(F.median("_l").alias("m"), F.stddev_pop("_l").alias("d")).first()
     z = (F.col("_l") - m["m"]) / (m["d"] or 1.0)
-    return s.withColumn("qc_sum", F.exp(-z * z / 2)).drop("_l")
+    s = s.withColumn("qc_sum", F.exp(-z * z / 2)).drop("_l")
+    if nuclear is None:
+        return s
+    rows = s.withColumn("_x", F.transform(nuclear, lambda v: F.greatest(v.cast("double"), F.lit(1.0))))
+    med = feature_aggregates(rows, "_x", n, m=F.median)["m"]
+    even = F.zip_with("_x", A.literal(med), lambda v, k: v / k)
+    own = A.let(even, lambda e: A.let(A.median(e), lambda k: F.transform(e, lambda v: v / k)))
+    # the median of a row divided by its median is 1
+    rows = rows.withColumn("_x", F.transform(own, lambda v: v - F.lit(1.0)))
+    spread = A.let(A.centred(F.col("_x")), A.norm) / F.sqrt(F.lit(float(n)))
+    mean = rows.agg(F.avg(spread)).first()[0] or 1.0
+    return rows.withColumn("nuc_score", F.transform("_x", lambda v: F.exp(-(v / F.lit(mean)) * (v / F.lit(mean)) / 2))).drop("_x")
 
 
 # volumes as (zi, yi, xi, id)

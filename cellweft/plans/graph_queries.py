@@ -181,10 +181,33 @@ def graph_edge_lengths(spark, sf):
     return Gr.edge_lengths(e, n).select("id", r6("mean_length").alias("mean_length"), r6("min_length").alias("min_length"))
 
 
-@query(WG + "SELECT src AS id, " + R("avg(abs(b.value - a.value))", "gradient") + " FROM u JOIN g a ON a.id = src JOIN g b ON b.id = dst GROUP BY 1")
+_SLOPE = (
+    W + f", e AS (SELECT a.id AS src, b.id AS dst, b.x - a.x AS dx, b.y - a.y AS dy, b.bits[3] - a.bits[3] AS dv FROM c a JOIN c b ON a.section = b.section AND a.id < b.id AND {D} <= 0.5 AND {D} > 0), "
+    "s AS (SELECT src, dst, CASE WHEN dx = 0 OR dy = 0 THEN abs(dv) / sqrt(dx * dx + dy * dy) ELSE sqrt(pow(dv * cos(atan(dx / dy)) / dx, 2) + pow(dv * sin(atan(dx / dy)) / dy, 2)) END AS g, abs(dv) / sqrt(dx * dx + dy * dy) AS q FROM e), "
+)
+
+
+def _near_cells(spark, sf):  # noqa: ANN001, ANN202
+    c = cells(spark, sf).withColumn("v", F.col("bits")[2])
+    return N.radius_join(c, 0.5).select("src", "dst"), c
+
+
+@query(_SLOPE + "t AS (SELECT src AS id, g FROM s UNION ALL SELECT dst, g FROM s) SELECT id, round(avg(g), 4) AS gradient FROM t GROUP BY 1")
 def graph_gradient(spark, sf):
-    n, e = grid(spark, sf)
-    return Gr.gradient(e, n, "value").withColumn("gradient", r6("gradient"))
+    e, c = _near_cells(spark, sf)
+    return Gr.gradient(e, c, "v").withColumn("gradient", F.round("gradient", 4))
+
+
+@query(_SLOPE + "t AS (SELECT src AS id, g FROM s UNION ALL SELECT dst, -g FROM s) SELECT id, round(avg(g), 4) + 0.0 AS gradient FROM t GROUP BY 1")
+def graph_gradient_signed(spark, sf):
+    e, c = _near_cells(spark, sf)
+    return Gr.gradient(e, c, "v", signed=True).withColumn("gradient", F.round("gradient", 4) + F.lit(0.0))
+
+
+@query(_SLOPE + "t AS (SELECT src AS id, q FROM s UNION ALL SELECT dst, q FROM s) SELECT id, " + R("avg(q)", "gradient") + " FROM t GROUP BY 1")
+def graph_gradient_along(spark, sf):
+    e, c = _near_cells(spark, sf)
+    return Gr.gradient(e, c, "v", slope="along").withColumn("gradient", r6("gradient"))
 
 
 _PEAK = ", w AS (SELECT id, (id * 7919) % 1009 AS v FROM g), p AS (SELECT src AS id FROM u JOIN w a ON a.id = src JOIN w b ON b.id = dst GROUP BY 1 HAVING any_value(a.v) > max(b.v)) "

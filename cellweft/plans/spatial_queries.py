@@ -9,8 +9,8 @@ from cellweft.operators import classify as K
 from cellweft.operators import design, environments, spatial, stats
 from cellweft.operators import neighbours as N
 from cellweft.operators import normalize as Z
-from cellweft.plans.fixtures import BITS, C, L, cells, read
-from cellweft.plans.registry import R, query, r6
+from cellweft.plans.fixtures import BITS, C, G, L, cells, grid, read
+from cellweft.plans.registry import R, long, query, r6
 
 W = "WITH " + C + " "
 WL = "WITH " + L + " "
@@ -310,11 +310,55 @@ def poisson_density(spark, sf):
     return stats.poisson_density(N.kth_distance(N.knn_plane(cells(spark, sf), 1), 1)).select(F.round("density", 4).alias("density"))
 
 
-@query()
+@query(
+    "WITH " + L + ", s AS (SELECT id, log10(greatest(sum(v), 1)) AS l FROM l GROUP BY 1), m AS (SELECT median(l) AS m, stddev_pop(l) AS d FROM s) "
+    "SELECT id, " + R("exp(-(l - m) / d * (l - m) / d / 2)", "qc_sum") + " FROM s, m"
+)
 def qc_score(spark, sf):
     return spatial.nuclear_score(cells(spark, sf), "bits", BITS).select("id", r6("qc_sum").alias("qc_sum"))
 
 
+@query(
+    "WITH " + L + ", a AS (SELECT id, bit, greatest(v, 1) / median(greatest(v, 1)) OVER (PARTITION BY bit) AS v FROM l), b AS (SELECT id, bit, v / median(v) OVER (PARTITION BY id) AS v FROM a), "
+    "d AS (SELECT avg(d) AS d FROM (SELECT id, stddev_pop(v) AS d FROM b GROUP BY 1)), z AS (SELECT id, bit, (v - median(v) OVER (PARTITION BY id)) / (SELECT d FROM d) AS z FROM b) "
+    "SELECT id, bit, " + R("exp(-z * z / 2)") + " FROM z"
+)
+def nuclear_scores(spark, sf):
+    return long(spatial.nuclear_score(cells(spark, sf), "bits", BITS, "bits"), "id", bits="nuc_score")
+
+
+def _image(spark, sf):  # noqa: ANN001, ANN202
+    n, _ = grid(spark, sf)
+    return n.select(F.lit(1).alias("image"), F.col("y").alias("row"), F.col("x").alias("col"), "value")
+
+
+# pixels of the grid with 0 where its last row ends, and the values around each, borders mirrored
+_IMAGE = (
+    "WITH " + G + ", s AS (SELECT max(x) AS mx, max(y) AS my FROM g), i AS (SELECT r.y, c.x, coalesce(g.value, 0) AS v FROM s, (SELECT unnest(range(0, 1 + (SELECT my FROM s))) AS y) r, (SELECT unnest(range(0, 1 + (SELECT mx FROM s))) AS x) c LEFT JOIN g ON g.x = c.x AND g.y = r.y), "
+    "w AS (SELECT i.y, i.x, j.v FROM i, s, (SELECT unnest([-1, 0, 1]) AS dy) a, (SELECT unnest([-1, 0, 1]) AS dx) b JOIN i j ON j.y = least(greatest(i.y + dy, 0), my) AND j.x = least(greatest(i.x + dx, 0), mx)) "
+)
+
+
+@query(_IMAGE + 'SELECT 1 AS image, y::INT AS "row", x::INT AS col, ' + R("quantile_disc(v, 0.5)", "value") + " FROM w GROUP BY y, x")
+def image_median(spark, sf):
+    return spatial.filter_images(_image(spark, sf), "median", 3).withColumn("value", r6("value"))
+
+
+@query(_IMAGE + 'SELECT 1 AS image, y::INT AS "row", x::INT AS col, ' + R("min(v)", "value") + " FROM w GROUP BY y, x")
+def image_minimum(spark, sf):
+    return spatial.filter_images(_image(spark, sf), "minimum", 3).withColumn("value", r6("value"))
+
+
+@query(_IMAGE + 'SELECT 1 AS image, y::INT AS "row", x::INT AS col, ' + R("list_sort(list(v))[7 + 1]", "value") + " FROM w GROUP BY y, x")
+def image_percentile(spark, sf):
+    return spatial.filter_images(_image(spark, sf), "percentile_80", 3).withColumn("value", r6("value"))
+
+
+@query(_IMAGE + ', m AS (SELECT y, x, min(v) AS b FROM w GROUP BY y, x) SELECT 1 AS image, y::INT AS "row", x::INT AS col, ' + R("greatest(0, v - b)", "value") + " FROM i JOIN m USING (y, x)")
+def image_background(spark, sf):
+    return spatial.subtract_background(_image(spark, sf), None, ("minimum", 3)).withColumn("value", r6("value"))
+
+
 # design
 
 

@@ -143,11 +143,31 @@ def test_phase_shift_finds_a_roll():
 
 
 def test_image_filters():
-    img = np.arange(100.0).reshape(10, 10)
-    assert np.allclose(spatial.filter_image(img, "polyfit", 1), 0, atol=1e-8)
+    """Against plain loops with mirrored borders."""
+    rng = np.random.default_rng(2)
+    img = rng.normal(size=(12, 16))
+    mirror = lambda i, n: (i if 0 <= i < n else -i - 1 if i < 0 else 2 * n - 1 - i)
+    for size in (3, 4):
+        around = [[sorted(img[mirror(y + a, 12), mirror(x + b, 16)] for a in range(-(size // 2), size - size // 2) for b in range(-(size // 2), size - size // 2)) for x in range(16)] for y in range(12)]
+        around = np.array(around)
+        assert (spatial.filter_image(img, "median", size) == around[:, :, size * size // 2]).all()
+        assert (spatial.filter_image(img, "minimum", size) == around[:, :, 0]).all()
+        assert (spatial.filter_image(img, "percentile_30", size) == around[:, :, int(size * size * 0.3)]).all()
     assert (spatial.filter_image(img, "unknown", 1) == 0).all()
     assert spatial.filter_image(np.ones((9, 9)), "gaussian", 1.0) == pytest.approx(np.ones((9, 9)))
-    assert (spatial.filter_image(img, "rolling_ball", 2) >= 0).all()
+    clipped = np.clip(img, *np.percentile(img, [10, 60]))
+    assert spatial.filter_image(img, "robust[10,60]gaussian", 1.0) == pytest.approx(spatial.filter_image(clipped, "gaussian", 1.0))
+    ball = np.array([[min(img[y + a, x + b] + 2 - np.sqrt(4 - a * a - b * b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4 and 0 <= y + a < 12 and 0 <= x + b < 16) for x in range(16)] for y in range(12)])
+    assert spatial._rolled_ball(img, 2) == pytest.approx(ball)
+    assert spatial.filter_image(np.full((12, 16), 3.0), "rolling_ball", 2) == pytest.approx(np.full((12, 16), 3.0))
+    y, x = np.mgrid[:12, :16]
+    plane = 2.0 * y + 3.0 * x
+    fit = spatial.filter_image(plane, "polyfit_1", 50)
+    assert np.abs(fit[2:-2, 2:-2] - (plane / 2 + (np.median(2.0 * y) + np.median(3.0 * x)) / 2)[2:-2, 2:-2]).max() < 1.0
+    assert spatial.filter_image(np.full((12, 16), 3.0), "spline_median_smooth", "3|4") == pytest.approx(np.full((12, 16), 3.0))
+    up = spatial.filter_image(plane, "spline", "5|4")  # 5 does not divide 12: 4 does
+    small = plane.reshape(3, 4, 4, 4).mean(axis=(1, 3))
+    assert up[0, 0] == small[0, 0] and up[6, 0] == pytest.approx(small[1, 0]) and up[0, 8] == pytest.approx((small[0, 1] + small[0, 2]) / 2)
 
 
 def test_multiquadric_passes_through_its_points(spark):
@@ -415,3 +435,36 @@ def test_alignment_and_subsampled_communities(spark):
     got = classify.align(d, d.select("id", "bits"), prior, communities, 4, resample=90)
     want = {r["id"]: r["label"] for r in d.collect()}
     assert np.mean([want[r["id"]] == r["label"] for r in got.collect()]) > 0.95
+
+
+def test_knn_in_the_plane_with_an_outlier(spark):
+    """Tiles of few points, points of one place, and one far away, against all pairs."""
+    rng = np.random.default_rng(7)
+    xy = np.concatenate([rng.normal(size=(700, 2)), np.round(rng.normal(size=(200, 2)), 1), np.zeros((40, 2)), [[1e6, -1e6]], rng.normal(size=(3, 2))])
+    section = ["a"] * 941 + ["b"] * 3
+    df = spark.createDataFrame([(i, section[i], float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, section string, x double, y double")
+    for include_self in (False, True):
+        got = {}
+        for r in neighbours.knn_plane(df, 5, include_self=include_self, tile=50).orderBy("src", "rank").collect():
+            got.setdefault(r["src"], []).append((r["dst"], r["dist"], r["rank"]))
+        for i in range(len(xy)):
+            d = np.sqrt((xy[:, 0] - xy[i, 0]) ** 2 + (xy[:, 1] - xy[i, 1]) ** 2)
+            best = sorted((d[j], j) for j in range(len(xy)) if section[j] == section[i] and (include_self or j != i))[:5]
+            assert [(b, r) for b, _, r in got[i]] == [(j, k) for k, (_, j) in enumerate(best, 1)] and np.allclose([v for _, v, _ in got[i]], [v for v, _ in best])
+
+
+def test_components_beyond_one_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 50)
+    rng = np.random.default_rng(1)
+    edges = [(i, i + 1) for i in range(0, 300) if i % 37] + [tuple(map(int, e)) for e in rng.integers(400, 900, (300, 2))]
+    e = spark.createDataFrame(edges, "src long, dst long").repartition(5)
+    got = {r["id"]: r["component"] for r in graph.components(e, spark.range(1000)).collect()}
+    least = list(range(1000))
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            m = min(least[a], least[b])
+            changed |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    assert got == dict(enumerate(least))
