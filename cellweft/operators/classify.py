@@ -61,11 +61,9 @@ class NearestNeighbours(Classifier):
     def shares(self, cells: DataFrame) -> DataFrame:
         """(id, label, share)."""
         scaled = lambda d: d.withColumn("bits", Z._each("bits", lambda x, w: x * w, self.weights)) if self.weights else d
-        queries = scaled(cells).select(F.struct(F.lit(0).alias("side"), "id").alias("id"), "bits")
-        base = scaled(self.reference).select(F.struct(F.lit(1).alias("side"), "id").alias("id"), "bits")
-        near = N.knn_features(queries, base, self.k, self.metric)
+        # a cell and a reference cell of one id are different cells
+        near = N.knn_features(scaled(cells), scaled(self.reference), self.k, self.metric, include_self=True)
         near = near.filter(F.col("dist") <= self.max_distance) if self.max_distance is not None else near
-        near = near.select(F.col("src.id").alias("src"), F.col("dst.id").alias("dst"), "dist", "rank")
         return N.vote(near, self.reference)
 
     def classify(self, cells: DataFrame) -> DataFrame:
@@ -250,7 +248,7 @@ def kmeans_regions(environments: DataFrame, k: int, seed: int = 1) -> DataFrame:
 
 def cluster_vote(reference: DataFrame, cells: DataFrame, clusters: DataFrame, n: int, k: int = 25) -> DataFrame:
     """(id, label): each cluster's median profile takes the label of more than half of its k nearest reference cells, or none."""
-    med = cells.join(clusters, "id").groupBy("community").agg(F.array(*[F.median(F.col("bits")[i]) for i in range(n)]).alias("bits"))
+    med = Z.grouped_feature_aggregates(cells.join(clusters, "id"), "community", "bits", n, bits=F.median)
     shares = NearestNeighbours(k).train(reference).shares(med.withColumnRenamed("community", "id"))
     won = shares.filter("share > 0.5").select(F.col("id").alias("community"), "label")
     return clusters.join(won, "community", "left").select("id", "label")
@@ -340,7 +338,7 @@ def align(reference: DataFrame, cells: DataFrame, prior: DataFrame, clusters: Da
     kinds = reference.groupBy("label").agg(F.first("flag").alias("_kind"))
     allowed = prior.join(kinds, "label").join(flags.withColumnRenamed("label", "_flag"), "id", "left")
     allowed = materialize(allowed.filter(F.col("_flag").isNull() | (F.col("_flag") == F.col("_kind"))).select("id", "label", "p"))
-    med = ref.groupBy("label").agg(F.array(*[F.median(F.col("bits")[i]) for i in range(n)]).alias("m")).orderBy("label").toPandas()  # a taxonomy
+    med = Z.grouped_feature_aggregates(ref, "label", "bits", n, m=F.median).orderBy("label").toPandas()  # a taxonomy
     return supervised_walk(ref.select("id", "bits", "label"), own.select("id", "bits"), allowed, ward(np.array(med["m"].tolist())), med["label"].tolist(), make or logistic)
 
 
@@ -395,7 +393,7 @@ def leaf_order(merges: np.ndarray, n: int) -> list[int]:
 
 def merge_labels(rows: DataFrame, n: int, groups: int | None = None, correlation: float | None = None, label: str = "label") -> DataFrame:
     """(label, merged): labels whose median profiles correlate, by Ward's method on 1 - correlation; into so many groups or above a correlation."""
-    med = rows.groupBy(label).agg(F.array(*[F.median(F.col("bits")[i]) for i in range(n)]).alias("m")).orderBy(label).toPandas()  # a taxonomy
+    med = Z.grouped_feature_aggregates(rows, label, "bits", n, m=F.median).orderBy(label).toPandas()  # a taxonomy
     r = 1 - np.corrcoef(np.array(med["m"].tolist()))
     merges = ward(np.atleast_2d(r))
     got = cut(merges, len(med), None if correlation is None else 1 - correlation, groups)

@@ -127,7 +127,7 @@ def _cut(points: DataFrame, by: list[str], axis: str, parts: Column, out: str) -
 
 def knn_plane(points: DataFrame, k: int, include_self: bool = False, tile: int = TILE) -> DataFrame:
     """(src, dst, dist, rank): the k nearest points of the same section, ties by id; rank from 1."""
-    p = points.select("id", "section", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("section is not null and x is not null and y is not null")
+    p = points.select(F.col("id").cast("long").alias("id"), F.col("section").cast("string").alias("section"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("section is not null and x is not null and y is not null")
     at = ["section", "_strip", "_tile"]
     p = _cut(p, ["section"], "x", F.ceil(F.sqrt(F.col("_n") / tile)), "_strip")
     p = materialize(_cut(p, ["section", "_strip"], "y", F.ceil(F.col("_n") / tile), "_tile"))
@@ -184,8 +184,8 @@ def knn_features(queries: DataFrame, base: DataFrame, k: int, metric: str = "cos
     parts = lambda df, size: F.lit(max(1, math.ceil(df.count() / size)))
     nb, nq = parts(base, block), parts(queries, max(1, block // 8))
     # each row is dealt to one block of its own side and meets all of the other
-    b = base.select(F.col("id").alias("dst"), F.col(bits).alias("v")).withColumns({"_b": F.pmod(F.xxhash64("dst"), nb), "_q": F.explode(F.sequence(F.lit(0), nq - 1))})
-    q = queries.select(F.col("id").alias("src"), F.col(bits).alias("v")).withColumns({"_q": F.pmod(F.xxhash64("src"), nq).cast("int"), "_b": F.explode(F.sequence(F.lit(0).cast("long"), nb.cast("long") - 1))})
+    b = base.select(F.col("id").cast("long").alias("dst"), F.col(bits).alias("v")).withColumns({"_b": F.pmod(F.xxhash64("dst"), nb), "_q": F.explode(F.sequence(F.lit(0), nq - 1))})
+    q = queries.select(F.col("id").cast("long").alias("src"), F.col(bits).alias("v")).withColumns({"_q": F.pmod(F.xxhash64("src"), nq).cast("int"), "_b": F.explode(F.sequence(F.lit(0).cast("long"), nb.cast("long") - 1))})
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})]

@@ -56,7 +56,7 @@ def window(units: DataFrame, x: tuple[float, float], y: tuple[float, float]) ->
 
 def log_shares(rows: DataFrame, bits: str) -> DataFrame:
     """Row shares as log2(x + 1)."""
-    return rows.withColumn(bits, F.transform(bits, lambda x: F.log2(x / F.nullif(A.total(F.col(bits)), F.lit(0.0)) + 1)))
+    return rows.withColumn(bits, A.let(F.nullif(A.total(F.col(bits)), F.lit(0.0)), lambda t: F.transform(bits, lambda x: F.log2(x / t + 1))))
 
 
 def scaled(df: DataFrame, value: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
