@@ -125,20 +125,18 @@ def emd_line(a: Column, b: Column) -> Column:
 
 def between_class_scatter(df: DataFrame, levels: list[str], bits: str, n: int, weights: list[float] | None = None) -> np.ndarray:
     """Between-class scatter over a hierarchy: at each level, the outer products of class means less the parent's mean, by class size, weighted by level and rescaled to unit trace."""
-    out = np.zeros((n, n))
-    mean = lambda by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("c"), F.array(*[F.avg(F.col(bits)[i]) for i in range(n)]).alias("m"))
-    parent = df.agg(F.array(*[F.avg(F.col(bits)[i]) for i in range(n)]).alias("p"))
-    for k in range(len(levels)):
-        own = mean(levels[: k + 1])
-        both = own.crossJoin(F.broadcast(parent)) if k == 0 else own.join(parent, levels[:k])  # parent: one row at the top
-        d = F.zip_with("m", "p", lambda x, y: x - y)
-        row = both.withColumn("_d", d).agg(*[F.sum(F.col("c") * F.col("_d")[i] * F.col("_d")[j]).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]).first()
-        s = np.zeros((n, n))
-        for i in range(n):
-            for j in range(i, n):
-                s[i, j] = s[j, i] = row[f"s{i}_{j}"] or 0.0
-        out += (weights[k] if weights else 1.0) * s / max(np.trace(s), 1e-12)
-        parent = own.select(*levels[: k + 1], F.col("m").alias("p"))
+    from cellweft.operators.normalize import grouped_feature_aggregates
+
+    out, parents = np.zeros((n, n)), {}
+    for k in range(len(levels) + 1):
+        by = levels[:k]
+        rows = df.withColumn("_class", F.struct(F.lit(0).alias("_all"), *by))
+        means = grouped_feature_aggregates(rows, "_class", bits, n, m=F.avg, c=F.count).collect()  # as many as a taxonomy has classes
+        own = {tuple(r["_class"])[1:]: (r["c"][0], np.array(r["m"])) for r in means}
+        if k:
+            s = sum((c * np.outer(m - parents[name[:-1]][1], m - parents[name[:-1]][1]) for name, (c, m) in sorted(own.items(), key=lambda x: str(x[0]))), np.zeros((n, n)))
+            out += (weights[k - 1] if weights else 1.0) * s / max(np.trace(s), 1e-12)
+        parents = own
     return out / max(np.trace(out), 1e-12)
 
 
