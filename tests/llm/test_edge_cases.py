@@ -48,3 +48,74 @@ def test_secrets_are_redacted(spark, odd_docs):
     assert text[7]["text"] == '[SECRET]" und mehr' and text[7]["n_chars"] == len(text[7]["text"])
     assert text[9]["text"].startswith("\U0001f600 [SECRET]") and text[9]["text"].endswith("\U0001f600")
     assert text[3]["text"] is None and text[4]["text"] == ""
+
+
+TURNS = "conv_id long, turn long, role string, text string, pair_id string, is_chosen string"
+
+
+def test_chat_format_of_odd_conversations(spark, as_table):
+    """Nulls in every column, ties, repeated rows, a missing side, identical sides, long and empty texts, clashing columns."""
+    rows = [
+        (0, 0, "user", "a"), (0, 1, "assistant", "b"), (0, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 1, "assistant", "c"),  # a repeat counts once
+        (2, 0, None, None), (2, 1, "assistant", ""), (3, 0, None, None), (3, 1, "assistant", "x" * 200_000),
+        (4, 0, "user", "only chosen"),
+        (6, 0, "user", "same"), (7, 0, "user", "same"),
+        (8, 0, "user", "tie 2"), (8, 0, "user", "tie 1"), (9, 0, "user", "tie 1"), (9, 0, "user", "tie 2"),
+        (10, None, "user", "<|end|>"), (11, None, "user", "<|end|>"), (11, 1, "assistant", "\U0001f600 <|assistant|>"),
+        (None, 0, "user", "nobody"),
+    ]
+    at = as_table(conversations=spark.createDataFrame([(*r, "p", "q") for r in rows], TURNS))
+    got = {r["pair_id"]: r.asDict() for r in QUERIES["op1_chat_format"](spark, at).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 5]
+    texts = {k: [v for v in r.values() if isinstance(v, str)] for k, r in got.items()}
+    assert any(t.endswith("a<|end|>\n") for t in texts[0]) and any("b<|end|>" in t for t in texts[0]) and any("c<|end|>" in t for t in texts[0])
+    assert sum(t.count("b<|end|>") for t in texts[0]) == 1
+    assert any("unknown" in t for t in texts[1]) and max(map(len, texts[1])) > 200_000
+    assert sum("only chosen" in t for t in texts[2]) == 1 and sum(t.count("same") for t in texts[3]) == 1 and sum(t.count("tie") for t in texts[4]) == 2
+    for t in texts[5]:  # no text can end its turn
+        assert t.count("<|end|>") == t.count("<|user|>") + t.count("<|assistant|>")
+
+
+def test_chat_format_of_nothing(spark, as_table):
+    empty = spark.createDataFrame([], TURNS)
+    assert QUERIES["op1_chat_format"](spark, as_table(conversations=empty)).count() == 0
+
+
+def test_neighbours_of_nothing(spark, as_table):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>, id int, v string, part string")
+    assert QUERIES["op8_ann"](spark, as_table(embeddings=empty)).count() == 0
+
+
+def test_pipeline_without_a_language_keeps_all_texts(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    plain = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, plain, "").count() == odd_docs.count()
+
+
+def test_pipeline_dedup_keeps_different_texts_of_one_id(spark, odd_docs):
+    from pyspark.sql import functions as F
+
+    one = odd_docs.withColumn("doc_id", F.lit(1).cast("long"))
+    kept = [r["text"] for r in corpus_pipeline.remove_near_duplicates(spark, one, "").collect()]
+    assert len(kept) == len(set(kept)) == len({r["text"] for r in odd_docs.collect()}) - 1  # the two near copies are one class
+
+
+def test_mixing_repeated_and_keyless_rows(spark):
+    """Repeated rows share the copies of the mix; the words taken are those that the mix takes."""
+    from cellweft.llm import mixing
+    from cellweft.llm.common import word_count
+    from pyspark.sql import functions as F
+
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(1, text(10), "a")] * 40 + [(None, text(7), "a")] * 30 + [(i, text(3 + i % 5), "b") for i in range(100, 200)] + [(2, text(50), "b"), (2, text(20), "b"), (3, None, "c"), (4, "", None)]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, source string, size string")
+    size = word_count(F.col("text"))
+    out = mixing.repeat_copies(df, "doc_id", "text", size)
+    assert out.columns == df.columns
+    taken = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    targets = {r["source"]: r["target"] for r in mixing.source_targets(df.select("source", size.alias("size"))).collect()}
+    assert abs(taken["a"] - targets["a"]) <= 5 and abs(taken["b"] - targets["b"]) <= 3
+    each = {r["doc_id"]: r["n"] for r in out.filter("source = 'a'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert each[1] <= 120 and each[None] <= 90
+    assert out.filter("doc_id in (3, 4)").count() == 2

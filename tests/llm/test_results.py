@@ -207,6 +207,20 @@ def test_mixing_targets_and_balance(spark, documents):
     assert sorted(map(tuple, got[["doc_id", "taken"]].to_numpy())) == sorted(map(tuple, again[["doc_id", "taken"]].to_numpy()))
 
 
+def test_mixing_rounds_to_the_target(spark):
+    """Brute force over all totals that copies can reach says that every target can be met; the mix is a few words off."""
+    con = "/root/testdata/sf0.01"
+    docs = duckdb.sql(f"select doc_id, source from '{con}/documents.parquet'").df()
+    got = QUERIES["op4_mixing"](spark, con).toPandas().merge(docs, on="doc_id")
+    for _, own in got.groupby("source"):
+        reach = 1  # bit w: w words can be taken
+        for z in own["size"]:
+            reach |= reach << int(z) | reach << 2 * int(z) | reach << 3 * int(z)
+        target = round(own["target"].iloc[0])
+        best = next(k for k in range(target) if reach >> (target + k) & 1 or reach >> (target - k) & 1)
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= best + 5
+
+
 def test_mixing_solves_the_dual(spark):
     rows = [("a", z, n) for z, n in ((1, 50), (10, 30), (200, 4))] + [(None, 7, 9)]
     cells = spark.createDataFrame(rows, "source string, size long, n long")
