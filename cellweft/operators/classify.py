@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cellweft.functions import arrays as A
 from cellweft.operators import neighbours as N
 from cellweft.operators import normalize as Z
 from cellweft.operators.ordering import dense_index
@@ -314,7 +315,7 @@ def subsampled_communities(cells: DataFrame, every: int = 10, window: float = 0.
         q = queries.select(F.col("id").alias("src"), F.col("section").alias("sa"), F.col("bits").alias("_a")).join(close, "sa")
         pairs = q.join(sample.select(F.col("id").alias("dst"), F.col("section").alias("sb"), F.col("bits").alias("_b")), "sb")
         pairs = pairs if include_self else pairs.filter("src <> dst")
-        return N._top(pairs.select("src", "dst", N.METRICS["correlation"](F.col("_a"), F.col("_b")).alias("dist")), k)
+        return N._top(pairs.select("src", "dst", (1 - A.pearson(F.col("_a"), F.col("_b"))).alias("dist")), k)
 
     edges = materialize(near(sample, False).select("src", "dst"))
     got = materialize(graph.communities(edges, sample.select("id", F.lit("all").alias("section")), resolution, seed))

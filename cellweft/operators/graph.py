@@ -285,6 +285,26 @@ def triangle_type_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return t.groupBy(F.sort_array(F.array("ta", "tb", "tc")).alias("types")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def triplet_enrichment(edges: DataFrame, nodes: DataFrame, permutations: int = 100, seed: int = 0, within: str | None = None) -> DataFrame:
+    """Triangles by the types of their corners against permuted node types: observed, expected, enrichment, p and q for each triple of types.
+
+    The triangles are found once; permuted types are joined on their corners.
+    """
+    from cellweft.operators.relational import permutation_test
+
+    found = materialize(triangles(edges))
+    p = permuted_types(nodes, permutations, seed, within)
+    t = found.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    for c in "abc":
+        t = t.join(p.select(F.col("id").alias(c), "permutation", F.col("type_ix").alias(f"t{c}")), [c, "permutation"])
+    types = F.sort_array(F.array("ta", "tb", "tc"))
+    counts = t.groupBy("permutation", types.alias("types")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts.unionByName(triangle_type_counts(edges, nodes).withColumn("permutation", F.lit(-1))))
+    grid = counts.select("types").distinct().withColumn("permutation", F.explode(F.sequence(F.lit(-1), F.lit(permutations - 1))))
+    full = grid.join(counts, ["permutation", "types"], "left").fillna(0, ["n"])
+    return permutation_test(full.select("types", F.col("n").cast("double").alias("value"), (F.col("permutation") == -1).alias("is_observed")), ["types"])
+
+
 def edge_lengths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, mean_length, min_length) of incident edges, null for isolated nodes."""
     e = with_ends(with_ends(simple_edges(edges), nodes, "x"), nodes, "y")
@@ -335,59 +355,112 @@ def bridge_edges(edges: DataFrame, nodes: DataFrame, least: int = 2, most: int =
 # communities
 
 
-def _local_moving(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, resolution: float, seed: int) -> np.ndarray:
-    """Louvain: moves to the neighbouring community of the best modularity gain, then aggregation, until nothing moves."""
+def _move(adj: tuple, own: np.ndarray, degree: np.ndarray, resolution: float, total: float, rng: np.random.Generator, within: np.ndarray | None = None) -> bool:
+    """Move nodes to the neighbouring community of the best gain, in place, until none gains; did any move?
+
+    With `within`, a refinement: nodes still alone, and well connected to their group, join a well connected community of the same group, once.
+    """
+    starts, d, w = adj
+    n = len(own)
+    size = n if within is None else max(n, int(within.max()) + 1)
+    volume = np.bincount(own, degree, size)
+    if within is not None:
+        group = np.bincount(within, degree, size)
+        outer = np.zeros(size)  # weight of a community's edges to the rest of its group
+        for v in range(n):
+            nb = slice(starts[v], starts[v + 1])
+            outer[own[v]] += w[nb][(within[d[nb]] == within[v]) & (d[nb] != v)].sum()
+        members = np.bincount(own, minlength=size)
+    moved = False
+    todo, queued = list(rng.permutation(n)), np.ones(n, bool)
+    at = 0
+    while at < len(todo):
+        v = todo[at]
+        at += 1
+        queued[v] = False
+        nb = slice(starts[v], starts[v + 1])
+        near, weight = d[nb], w[nb]
+        far = near != v
+        if within is not None:
+            far &= within[near] == within[v]
+        if not far.any():
+            continue
+        if within is not None:
+            rest = group[within[v]]
+            if members[own[v]] > 1 or weight[far].sum() < resolution * degree[v] * (rest - degree[v]) / total:
+                continue
+        old = own[v]
+        cands, inverse = np.unique(own[near[far]], return_inverse=True)
+        links = np.bincount(inverse, weight[far])
+        volume[old] -= degree[v]
+        gain = links - resolution * degree[v] * volume[cands] / total
+        if within is not None:
+            connected = outer[cands] >= resolution * volume[cands] * (rest - volume[cands]) / total
+            gain = np.where(connected & (cands != old), gain, -np.inf)
+            stay = 0.0
+        else:
+            stay = links[cands == old].sum() - resolution * degree[v] * volume[old] / total
+        best = int(np.argmax(gain))
+        if gain[best] > stay + 1e-12 and cands[best] != old:
+            own[v] = cands[best]
+            moved = True
+            if within is not None:
+                members[old] -= 1
+                members[own[v]] += 1
+                # edges to the community it joins are no longer outside
+                outer[own[v]] += weight[far].sum() - 2 * links[best]
+                outer[old] = 0.0
+            else:
+                for u in near[far][own[near[far]] != own[v]]:
+                    if not queued[u]:
+                        queued[u] = True
+                        todo.append(u)
+        volume[own[v]] += degree[v]
+    return moved
+
+
+def _leiden(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, n: int, resolution: float, seed: int) -> np.ndarray:
+    """Modularity communities by local moving, refinement and aggregation, until nothing moves.
+
+    Communities are refined before they are aggregated: the aggregate's nodes are the well connected parts of a community, which start out in it and may leave it.
+    """
     rng = np.random.default_rng(seed)
-    label = np.arange(n)
-    total = weight.sum()
+    total = max(weight.sum(), 1e-12)
+    label, own = np.arange(n), np.arange(n)
     while True:
         order = np.argsort(src, kind="stable")
         s, d, w = src[order], dst[order], weight[order]
-        starts = np.searchsorted(s, np.arange(n + 1))
+        adj = (np.searchsorted(s, np.arange(n + 1)), d, w)
         degree = np.bincount(s, w, n)
-        own = np.arange(n)
-        volume = degree.copy()
-        moved = False
-        for _ in range(20):
-            changed = 0
-            for v in rng.permutation(n):
-                nb = slice(starts[v], starts[v + 1])
-                far = d[nb] != v
-                if not far.any():
-                    continue
-                cands, inverse = np.unique(own[d[nb][far]], return_inverse=True)
-                links = np.bincount(inverse, w[nb][far])
-                volume[own[v]] -= degree[v]
-                gain = links - resolution * degree[v] * volume[cands] / max(total, 1e-12)
-                stay = links[cands == own[v]].sum() - resolution * degree[v] * volume[own[v]] / max(total, 1e-12)
-                best = int(np.argmax(gain))
-                if gain[best] > stay + 1e-12 and cands[best] != own[v]:
-                    own[v] = cands[best]
-                    changed += 1
-                volume[own[v]] += degree[v]
-            moved |= changed > 0
-            if not changed:
-                break
+        moved = _move(adj, own, degree, resolution, total, rng)
         names, own = np.unique(own, return_inverse=True)
-        label = own[label]
-        if not moved or len(names) == n:
-            return label
-        key = own[s] * len(names) + own[d]
-        pairs, inverse = np.unique(key, return_inverse=True)
-        src, dst, weight, n = pairs // len(names), pairs % len(names), np.bincount(inverse, w), len(names)
+        part = np.arange(n)
+        _move(adj, part, degree, resolution, total, rng, within=own)
+        kept, part = np.unique(part, return_inverse=True)
+        if len(names) == n or (len(kept) == n and not moved):
+            return own[label]
+        if len(kept) == n:
+            # nothing to aggregate: the communities themselves are
+            part, kept = own, names
+        first = np.zeros(len(kept), np.int64)
+        first[part] = np.arange(n)
+        label = part[label]
+        pairs, inverse = np.unique(part[s] * len(kept) + part[d], return_inverse=True)
+        src, dst, weight, n = pairs // len(kept), pairs % len(kept), np.bincount(inverse, w), len(kept)
+        own = own[first]
 
 
 def communities(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, seed: int = 0, by: str = "section") -> DataFrame:
     """(id, community) of modularity clustering, each section in one task; labels from 1, by size, then least id.
 
-    Seeded Louvain local moving with a resolution. It optimises the function that Leiden does, without its refinement step; the partitions need not agree.
+    Seeded Leiden: local moving with a resolution, refinement, aggregation. As moves are in a seeded order, partitions need not agree with those of other programs.
     """
     e = with_ends(simple_edges(edges), nodes, by).filter(F.col(f"{by}_src") == F.col(f"{by}_dst")).select(F.col(f"{by}_src").alias(by), "src", "dst")
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(n["id"].to_numpy())
         a, b = np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy())
-        label = _local_moving(np.concatenate([a, b]), np.concatenate([b, a]), np.ones(2 * len(a)), len(ids), resolution, seed)
+        label = _leiden(np.concatenate([a, b]), np.concatenate([b, a]), np.ones(2 * len(a)), len(ids), resolution, seed)
         size = np.bincount(label)
         first = np.full(len(size), len(ids))
         np.minimum.at(first, label, np.arange(len(ids)))

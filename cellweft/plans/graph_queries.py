@@ -245,6 +245,14 @@ def graph_triangle_types(spark, sf):
     return t.select(*[F.col("types")[i].alias(f"t{i}") for i in range(3)], "n")
 
 
+@query()
+def graph_triplet_enrichment(spark, sf):
+    n, e = grid(spark, sf)
+    two = e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).filter(F.col("b.dst") == F.col("a.src") + 41).select("a.src", "b.dst")
+    t = Gr.triplet_enrichment(e.union(two), n)
+    return t.select(*[F.col("types")[k].alias(f"t{k}") for k in range(3)], *[r6(c).alias(c) for c in ("obs", "expected", "enrichment", "p", "q")])
+
+
 @query()
 def graph_enrichment(spark, sf):
     n, e = grid(spark, sf)

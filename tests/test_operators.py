@@ -468,3 +468,44 @@ def test_components_beyond_one_task(spark, monkeypatch):
             changed |= least[a] != m or least[b] != m
             least[a] = least[b] = m
     assert got == dict(enumerate(least))
+
+
+def test_leiden_finds_planted_communities():
+    """Rings of cliques, a random planted partition, and no community that falls apart."""
+    rng = np.random.default_rng(3)
+    edges = [(c * 6 + i, c * 6 + j) for c in range(20) for i in range(6) for j in range(i)] + [(c * 6, (c + 1) % 20 * 6 + 1) for c in range(20)]
+
+    def run(edges, n, resolution=1.0):
+        a, b = np.array(edges).T
+        return graph._leiden(np.concatenate([a, b]), np.concatenate([b, a]), np.ones(2 * len(a)), n, resolution, 0)
+
+    label = run(edges, 120)
+    assert all(len(set(label[c * 6 : c * 6 + 6])) == 1 for c in range(20)) and 10 <= len(set(label)) <= 20
+    kind = np.repeat(np.arange(4), 50)
+    planted = [(i, j) for i in range(200) for j in range(i) if rng.random() < (0.3 if kind[i] == kind[j] else 0.01)]
+    label = run(planted, 200)
+    assert len(set(label)) == 4 and all(len(set(label[kind == k])) == 1 for k in range(4))
+    random = [tuple(e) for e in rng.integers(0, 300, (900, 2)) if e[0] != e[1]]
+    label = run(random, 300, 2.0)
+    a, b = np.array(random).T
+    inside = label[a] == label[b]
+    nodes, least = graph._least_labels(a[inside], b[inside])
+    part = dict(zip(nodes, least, strict=True))
+    assert all(len({part.get(v, v) for v in np.flatnonzero(label == k)}) == 1 for k in set(label))
+
+
+def test_triplets_against_permutations(spark):
+    """Observed counts are those of the types; expected ones lie near the share of each triple."""
+    rng = np.random.default_rng(4)
+    tri = [(3 * k, 3 * k + 1, 3 * k + 2) for k in range(200)]
+    types = [int(t) for k in range(200) for t in ([0, 0, 0] if k < 60 else rng.integers(0, 2, 3))]
+    e = spark.createDataFrame([p for a, b, c in tri for p in ((a, b), (b, c), (a, c))], "src long, dst long")
+    n = spark.createDataFrame(list(enumerate(types)), "id long, type_ix int")
+    got = {tuple(r["types"]): r for r in graph.triplet_enrichment(e, n, 50).collect()}
+    want = {}
+    for t in tri:
+        key = tuple(sorted(types[v] for v in t))
+        want[key] = want.get(key, 0) + 1
+    share = np.mean(types)
+    assert {k: r["obs"] for k, r in got.items()} == want
+    assert abs(got[(0, 0, 0)]["expected"] - 200 * (1 - share) ** 3) < 6 and got[(0, 0, 0)]["enrichment"] > 1.5 and got[(0, 0, 0)]["q"] < 0.1
