@@ -249,7 +249,7 @@ def kmeans_regions(environments: DataFrame, k: int, seed: int = 1) -> DataFrame:
 
 def cluster_vote(reference: DataFrame, cells: DataFrame, clusters: DataFrame, n: int, k: int = 25) -> DataFrame:
     """(id, label): each cluster's median profile takes the label of more than half of its k nearest reference cells, or none."""
-    med = Z.grouped_feature_aggregates(cells.join(clusters, "id"), "community", "bits", n, bits=F.median)
+    med = Z.grouped_feature_aggregates(cells.join(clusters, "id"), "community", "bits", n, m=F.median).withColumnRenamed("m", "bits")
     shares = NearestNeighbours(k).train(reference).shares(med.withColumnRenamed("community", "id"))
     won = shares.filter("share > 0.5").select(F.col("id").alias("community"), "label")
     return clusters.join(won, "community", "left").select("id", "label")
