@@ -162,7 +162,7 @@ def group_mean(spark, sf):
     return long(relational.group_features(cells(spark, sf), "type_ix", "bits", BITS), "type_ix", bits="mean_bits")
 
 
-@query(WL + ", s AS (SELECT type_ix, bit, sum(v) AS v FROM l GROUP BY 1, 2) SELECT t.k::INT AS type_ix, b.k::INT AS bit, " + R("coalesce(v, 0)") + " FROM range(0, 12) t(k), range(0, 8) b(k) LEFT JOIN s ON s.type_ix = t.k AND s.bit = b.k")
+@query(WL + ", s AS (SELECT type_ix, bit, sum(v) AS v FROM l GROUP BY 1, 2) SELECT t.k::INT AS type_ix, b.k::INT AS bit, " + R("coalesce(v, 0)") + f" FROM range(0, 12) t(k), range(0, {BITS}) b(k) LEFT JOIN s ON s.type_ix = t.k AND s.bit = b.k")
 def group_sum_with_absent(spark, sf):
     g = spark.range(12).select(F.col("id").cast("int").alias("type_ix"))
     return long(relational.group_features(cells(spark, sf), "type_ix", "bits", BITS, "sum", g), "type_ix", bits="sum_bits")
@@ -413,19 +413,24 @@ def side_of_line(spark, sf):
     return cells(spark, sf).select("id", S.side_of_line(F.col("x"), F.col("y"), (0, 0), (1, 2)).alias("hemi"))
 
 
-@query(WL + ", p AS (SELECT a.id, a.v AS u, b.v AS w FROM l a JOIN l b ON b.id = a.id AND b.bit = 7 - a.bit) SELECT id, " + R("corr(u, w)", "r") + " FROM p GROUP BY 1")
+@query(WL + f", p AS (SELECT a.id, a.v AS u, b.v AS w FROM l a JOIN l b ON b.id = a.id AND b.bit = {BITS - 1} - a.bit) SELECT id, " + R("corr(u, w)", "r") + " FROM p GROUP BY 1")
 def paired_correlation(spark, sf):
     return stats.paired_correlation(cells(spark, sf).withColumn("rev", F.reverse("bits")), "bits", "rev").select("id", r6("r").alias("r"))
 
 
-@query(WL + ", p AS (SELECT id, bit, v, row_number() OVER (PARTITION BY id ORDER BY v, bit) AS r FROM l), q AS (SELECT a.id, a.r AS u, b.r AS w FROM p a JOIN p b ON b.id = a.id AND b.bit = 7 - a.bit) SELECT id, " + R("corr(u, w)", "r") + " FROM q GROUP BY 1")
+@query(WL + f", p AS (SELECT id, bit, v, row_number() OVER (PARTITION BY id ORDER BY v, bit) AS r FROM l), q AS (SELECT a.id, a.r AS u, b.r AS w FROM p a JOIN p b ON b.id = a.id AND b.bit = {BITS - 1} - a.bit) SELECT id, " + R("corr(u, w)", "r") + " FROM q GROUP BY 1")
 def paired_spearman(spark, sf):
     return stats.paired_correlation(cells(spark, sf).withColumn("rev", F.reverse("bits")), "bits", "rev", "spearman").select("id", r6("r").alias("r"))
 
 
-@query(WL + ", s AS (SELECT id, bit, v / sum(v) OVER (PARTITION BY id) AS p FROM l), j AS (SELECT a.id, a.p, b.p AS q FROM s a JOIN s b ON b.id = a.id AND b.bit = 7 - a.bit) SELECT id, " + R("sum(-(p + q) / 2 * log2((p + q) / 2) + (p * log2(p) + q * log2(q)) / 2)", "d") + " FROM j GROUP BY 1")
+@query(
+    WL + ", s AS (SELECT id, bit, greatest(v, 0) / sum(greatest(v, 0)) OVER (PARTITION BY id) AS p FROM l), "
+    f"j AS (SELECT a.id, a.p, b.p AS q FROM s a JOIN s b ON b.id = a.id AND b.bit = {BITS - 1} - a.bit), k AS (SELECT id, unnest([(p + q) / 2, p, q]) AS x, unnest([-1, 0.5, 0.5]) AS w FROM j) "
+    "SELECT id, " + R("sum(w * CASE WHEN x > 0 THEN x * log2(x) ELSE 0 END)", "d") + " FROM k GROUP BY 1"
+)
 def jensen_shannon(spark, sf):
-    p = cells(spark, sf).withColumn("p", F.transform("bits", lambda x: x / A.total(F.col("bits"))))
+    p = cells(spark, sf).withColumn("p", F.transform("bits", lambda x: F.greatest(x, F.lit(0.0))))
+    p = p.withColumn("p", A.let(A.total(F.col("p")), lambda t: F.transform("p", lambda x: x / t)))
     return p.select("id", r6(A.jensen_shannon(F.col("p"), F.reverse("p"))).alias("d"))
 
 
@@ -447,7 +452,7 @@ def eta_squared(spark, sf):
     return stats.eta_squared(cells(spark, sf), "type_ix", "bits", BITS).withColumn("eta2", r6("eta2"))
 
 
-@query(WL + ", p AS (SELECT a.id, a.bit, a.v AS t, b.v AS q FROM l a JOIN l b ON b.id = a.id AND b.bit = 7 - a.bit), s AS (SELECT bit, avg((t - q) * (t - q)) AS e, avg(t * t) AS s, var_pop(t) AS v FROM p GROUP BY 1) SELECT " + R("avg(e)", "mse") + ", " + R("1 - avg(e) / avg(s)", "explained") + ", " + R("1 - avg(e) / avg(v)", "r2") + " FROM s")
+@query(WL + f", p AS (SELECT a.id, a.bit, a.v AS t, b.v AS q FROM l a JOIN l b ON b.id = a.id AND b.bit = {BITS - 1} - a.bit), s AS (SELECT bit, avg((t - q) * (t - q)) AS e, avg(t * t) AS s, var_pop(t) AS v FROM p GROUP BY 1) SELECT " + R("avg(e)", "mse") + ", " + R("1 - avg(e) / avg(s)", "explained") + ", " + R("1 - avg(e) / avg(v)", "r2") + " FROM s")
 def paired_mse(spark, sf):
     d = stats.paired_mse(cells(spark, sf).withColumn("rev", F.reverse("bits")), "bits", "rev", BITS)
     return d.select(*[r6(c).alias(c) for c in ("mse", "explained", "r2")])
