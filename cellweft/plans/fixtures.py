@@ -31,7 +31,7 @@ def grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     step = p.select(F.col("id").alias("src"), "x")
     edges = step.filter(F.col("x") < WIDTH - 1).select("src", (F.col("src") + 1).alias("dst")).union(step.select("src", (F.col("src") + WIDTH).alias("dst")))
-    return p, edges.join(p.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return p, edges.join(p.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_semi").select("src", "dst")
 
 
 #: The same in DuckDB: cells c, their features in long form l, grid nodes g and edges e.
