@@ -240,7 +240,7 @@ def graph_fill_small_zones(spark, sf):
 @query(WG + ", d AS (SELECT src, dst FROM e UNION ALL SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE b.dst = a.src + 41), o AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM d), t AS (SELECT x.a, x.b, y.b AS c FROM o x JOIN o y ON y.a = x.b JOIN o z ON z.a = x.a AND z.b = y.b) SELECT list_sort([p.type_ix, q.type_ix, r.type_ix])[1] AS t0, list_sort([p.type_ix, q.type_ix, r.type_ix])[2] AS t1, list_sort([p.type_ix, q.type_ix, r.type_ix])[3] AS t2, count(*) AS n FROM t JOIN g p ON p.id = a JOIN g q ON q.id = b JOIN g r ON r.id = c GROUP BY ALL")
 def graph_triangle_types(spark, sf):
     n, e = grid(spark, sf)
-    two = e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).filter(F.col("b.dst") == F.col("a.src") + 41).select("a.src", "b.dst")
+    two = e.alias("a").join(e.alias("b").hint("merge"), F.col("a.dst") == F.col("b.src")).filter(F.col("b.dst") == F.col("a.src") + 41).select("a.src", "b.dst")
     t = Gr.triangle_type_counts(e.union(two), n)
     return t.select(*[F.col("types")[i].alias(f"t{i}") for i in range(3)], "n")
 
@@ -248,7 +248,7 @@ def graph_triangle_types(spark, sf):
 @query()
 def graph_triplet_enrichment(spark, sf):
     n, e = grid(spark, sf)
-    two = e.alias("a").join(e.alias("b"), F.col("a.dst") == F.col("b.src")).filter(F.col("b.dst") == F.col("a.src") + 41).select("a.src", "b.dst")
+    two = e.alias("a").join(e.alias("b").hint("merge"), F.col("a.dst") == F.col("b.src")).filter(F.col("b.dst") == F.col("a.src") + 41).select("a.src", "b.dst")
     t = Gr.triplet_enrichment(e.union(two), n)
     return t.select(*[F.col("types")[k].alias(f"t{k}") for k in range(3)], *[r6(c).alias(c) for c in ("obs", "expected", "enrichment", "p", "q")])
 
