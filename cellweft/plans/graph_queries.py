@@ -187,27 +187,23 @@ _SLOPE = (
 )
 
 
-def _near_cells(spark, sf):  # noqa: ANN001, ANN202
-    c = cells(spark, sf).withColumn("v", F.col("bits")[2])
-    return N.radius_join(c, 0.5).select("src", "dst"), c
+def _valued_cells(spark, sf):  # noqa: ANN001, ANN202
+    return cells(spark, sf).withColumn("v", F.col("bits")[2])
 
 
 @query(_SLOPE + "t AS (SELECT src AS id, g FROM s UNION ALL SELECT dst, g FROM s) SELECT id, round(avg(g), 4) AS gradient FROM t GROUP BY 1")
 def graph_gradient(spark, sf):
-    e, c = _near_cells(spark, sf)
-    return Gr.gradient(e, c, "v").withColumn("gradient", F.round("gradient", 4))
+    return Gr.gradient_within(_valued_cells(spark, sf), 0.5, "v").withColumn("gradient", F.round("gradient", 4))
 
 
 @query(_SLOPE + "t AS (SELECT src AS id, g FROM s UNION ALL SELECT dst, -g FROM s) SELECT id, round(avg(g), 4) + 0.0 AS gradient FROM t GROUP BY 1")
 def graph_gradient_signed(spark, sf):
-    e, c = _near_cells(spark, sf)
-    return Gr.gradient(e, c, "v", signed=True).withColumn("gradient", F.round("gradient", 4) + F.lit(0.0))
+    return Gr.gradient_within(_valued_cells(spark, sf), 0.5, "v", signed=True).withColumn("gradient", F.round("gradient", 4) + F.lit(0.0))
 
 
 @query(_SLOPE + "t AS (SELECT src AS id, q FROM s UNION ALL SELECT dst, q FROM s) SELECT id, " + R("avg(q)", "gradient") + " FROM t GROUP BY 1")
 def graph_gradient_along(spark, sf):
-    e, c = _near_cells(spark, sf)
-    return Gr.gradient(e, c, "v", slope="along").withColumn("gradient", r6("gradient"))
+    return Gr.gradient_within(_valued_cells(spark, sf), 0.5, "v", slope="along").withColumn("gradient", r6("gradient"))
 
 
 _PEAK = ", w AS (SELECT id, (id * 7919) % 1009 AS v FROM g), p AS (SELECT src AS id FROM u JOIN w a ON a.id = src JOIN w b ON b.id = dst GROUP BY 1 HAVING any_value(a.v) > max(b.v)) "
