@@ -21,3 +21,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize_round(df: DataFrame) -> DataFrame:
+    """materialize() for rounds that join a frame with itself: estimates of size are forgotten.
+
+    A checkpoint keeps the estimate of its plan, and a join multiplies those of its sides, so that every round would raise the number to a power
+    until it fills the driver's memory.
+    """
+    spark, kept = df.sparkSession, materialize(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.javaRDD(), kept._jdf.schema()), spark)
